@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, toxicity
+from lexloom.llm import mixing, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "llr")
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -48,7 +58,7 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_mixing": op4_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op8_url_filter": op8_url_filter}
 ORACLE_SQL = {"op4_mixing": OP4_SQL}
 
 
