@@ -55,20 +55,22 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     return df, False
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "left") -> DataFrame:
-    """Equi-join on ``key`` whose left side may be hot: ``right`` holds one row a key.
+def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left", share: int = 1000) -> DataFrame:
+    """Equi-join on ``key`` whose left side may be hot: ``right`` holds one row a
+    key, with the number of left rows of that key in ``weight`` (dropped).
 
-    Broadcasts a right side proven small; else each right row is copied to
-    ``salts`` salts, and a hot key's left rows spread over as many tasks.
+    A right side proven small is broadcast.  Else the keys that hold more than
+    1/``share`` of all left rows, of which there are fewer than ``share``, are
+    broadcast, and only rows of other keys are shuffled.
     """
-    right, is_small = small(right)
+    narrow, is_small = small(right)
     if is_small:
-        return left.join(right, key, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    return (
-        left.withColumn("_salt", salt)
-        .join(right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))), [key, "_salt"], how)
-        .drop("_salt")
+        return left.join(narrow.drop(weight), key, how)
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(weight) * share > total))  # fewer than `share` rows
+    cold = right.where(F.col(weight) * share <= total)
+    return left.join(hot.drop(weight), key).unionByName(
+        left.join(hot.select(key), key, "left_anti").join(cold.drop(weight), key, how)
     )
 
 

@@ -97,14 +97,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """Documents with ``size, source_size, target, rate, copies, taken``."""
     C.check_columns(docs, doc_id, source, text)
     sized = sizes(docs, text)
-    per = sized.groupBy(F.col(source).alias("_s")).agg(F.sum("size").alias("source_size"))
+    per = sized.groupBy(F.col(source).alias("_s")).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     per = targets(cyclic_weights(per, "_s", cycle), total, cap)
     # null is a source: join on a never-null key
     key = lambda c: F.concat(F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(c, F.lit("")))
-    per = per.select(key(F.col("_s")).alias("_k"), "source_size", "target")
+    per = per.select(key(F.col("_s")).alias("_k"), "source_size", "target", "_rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
-        C.salted_join(sized.withColumn("_k", key(F.col(source))), per, "_k")
+        C.hot_join(sized.withColumn("_k", key(F.col(source))), per, "_k", "_rows")
         .withColumn("rate", rate)
         .withColumn("copies", (F.floor("rate") + (uniform(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))

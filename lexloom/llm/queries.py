@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, token_counts, toxicity, url_filter
+from lexloom.llm import ann, mixing, neardup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "llr")
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, F.col("vec_id") % 50 == 0)
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -58,7 +67,7 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op8_url_filter": op8_url_filter}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_minhash_neardup": op2_minhash_neardup, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op8_url_filter": op8_url_filter, "op10_nearest_neighbours": op10_nearest_neighbours}
 ORACLE_SQL = {"op4_mixing": OP4_SQL}
 
 
