@@ -396,3 +396,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labelled.select(F.struct("f1", "f2", "n_shingles").alias("k"), "copies", "component_id"), "k", "copies")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """All columns of the documents that ``near_duplicates`` keeps.
+
+    Null ids are kept (they were not compared); of rows that repeat a kept id all
+    are kept, as they are one document.
+    """
+    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import ann, mixing, neardup, token_counts, toxicity, url_filter
+from lexloom.llm import ann, line_dedup, mixing, neardup, quality, sentencepiece_lattice, substring_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,27 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, F.col("vec_id") % 50 == 0)
 
 
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_lattice.encode(docs).select("doc_id", "ids", "n_pieces", "round_trip")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", "spans", "text")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -67,7 +88,18 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_minhash_neardup": op2_minhash_neardup, "op4_mixing": op4_mixing, "op7_token_counts": op7_token_counts, "op8_url_filter": op8_url_filter, "op10_nearest_neighbours": op10_nearest_neighbours}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_minhash_neardup": op2_minhash_neardup,
+    "op3_perplexity": op3_perplexity,
+    "op4_mixing": op4_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_url_filter": op8_url_filter,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
+}
 ORACLE_SQL = {"op4_mixing": OP4_SQL}
 
 
