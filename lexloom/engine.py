@@ -18,7 +18,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexloom.config import EngineConfig, FuzzyConfig
 from lexloom.functions import analyzer as A
@@ -28,8 +27,6 @@ from lexloom.operators.idset import MAX_ID
 from lexloom.operators.result import ResultHandle
 from lexloom.sources import importers, store as ST
 
-_OPS = T._parse_datatype_string(ST.OPS)
-
 
 class SearchEngine:
     """Full-text engine on Spark; see the module's text for its write semantics."""
@@ -159,7 +156,7 @@ class SearchEngine:
 
     def _buffered(self) -> DataFrame | None:
         """One operation a document: the buffer's latest."""
-        parts = [*self._frames, *([self.spark.createDataFrame(self._rows, _OPS)] if self._rows else [])]
+        parts = [*self._frames, *([self.spark.createDataFrame(self._rows, ST.OPS)] if self._rows else [])]
         if not parts:
             return None
         every = reduce(DataFrame.unionByName, parts)
@@ -186,7 +183,7 @@ class SearchEngine:
                         posted = posted.join(latest, ["doc_id", "seq"], "left_semi")
                     self._index = I.Index(docs.drop("seq"), posted.drop("seq"), c.min_term_length, c.max_cjk_length)
                 else:
-                    ops = buffered if buffered is not None else self.spark.createDataFrame([], _OPS)
+                    ops = buffered if buffered is not None else self.spark.createDataFrame([], ST.OPS)
                     docs = ops.where(F.col("op") == ST.UPSERT).drop("op", "seq")
                     self._index = I.Index(docs, None, c.min_term_length, c.max_cjk_length)
             return self._index

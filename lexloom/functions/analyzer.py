@@ -17,6 +17,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_TERM, MAX_CJK = 2, 4
 BOUNDARY = "\x1e"
@@ -31,7 +32,7 @@ _IS_CJK = re.compile(f"[{CJK}]")
 _RUNS = re.compile(f"[{CJK}]+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 

@@ -33,7 +33,7 @@ def prepare(df: DataFrame, id_column: str = "id", text_columns: list[str] | None
         raise ValueError(f"no id column {id_column!r}; have {df.columns}")
     wanted = [c for c in df.columns if c != id_column] if text_columns is None else [c for c in text_columns if c in df.columns]
     raw = F.col(f"`{id_column}`")
-    number = raw.cast("long")
+    number = raw.try_cast("long")
     sound = number.isNotNull() & (number >= 0)
     checked = F.when(sound, number).otherwise(F.raise_error(F.concat(F.lit("bad document id: "), F.coalesce(raw.cast("string"), F.lit("null")))).cast("long"))
     names = [f"text_{i}" for i in range(len(wanted))]

@@ -20,7 +20,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexloom.operators import index as I
 
@@ -128,7 +127,7 @@ class Store:
         paths = [f"{self.path}/segments/{s}/{kind}" for s in self.manifest.segments]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(T._parse_datatype_string(schema)).parquet(*paths)
+        return self.spark.read.schema(schema).parquet(*paths)
 
     def ops(self) -> DataFrame:
         return self._read("docs", OPS)
