@@ -29,7 +29,7 @@ table gives an empty result; columns named like an output column are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ from lexloom.llm import textnp as X
 from lexloom.llm import token_counts
 
 TABLE_ROWS, PER_PARTITION, CACHE_ROWS, MAX_CHARS = 131_072, 32_768, 1_000_000, 60
+#: Places of the fields of a packed edge: rank from bit 32, id below bit 20.
+_START, _LENGTH, _ID = 26, 20, (1 << 20) - 1
 
 
 def piece_rows(path: str) -> list[tuple[str, int, float]]:
@@ -52,6 +54,13 @@ def piece_rows(path: str) -> list[tuple[str, int, float]]:
     return [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
 
 
+def ranks(path: str) -> dict[str, int]:
+    """Merge rank of each piece: 0 for the best score, equal for equal scores."""
+    rows = piece_rows(path)
+    place = {x: i for i, x in enumerate(sorted({x for _, _, x in rows}, reverse=True))}
+    return {p: place[x] for p, _, x in rows}
+
+
 def merge_order(word: str, rank: dict[str, int]) -> tuple[list[str], list[int]]:
     """Reference BPE: the best-ranked neighbouring pair first, leftmost of equals."""
     parts, ranks = list(word), []
@@ -66,15 +75,15 @@ def merge_order(word: str, rank: dict[str, int]) -> tuple[list[str], list[int]]:
 @lru_cache(maxsize=4)
 def risky(path: str) -> frozenset[str]:
     """Pieces that merges of falling rank build: one ordered pass may miss them."""
-    rank = {p: i for p, i, _ in piece_rows(path)}
+    rank = ranks(path)
     return frozenset(p for p in rank if len(p) > 1 and (r := merge_order(p, rank)[1]) != sorted(r))
 
 
 def edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """``word, n, edges``: the lattice of each distinct ``word`` (no further columns).
 
-    Edges are packed longs ``id << 12 | start << 6 | length``, so sorting them
-    sorts by merge rank and then from left to right.  Words come hash partitioned,
+    Edges are packed longs of rank, start, length and id (from the high bits down),
+    so sorting them sorts by merge rank and then from left to right.  Words come hash partitioned,
     which exploding and a broadcast join keep: grouping adds no shuffle.
     """
     n = F.char_length("word")
@@ -84,7 +93,8 @@ def edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
         .withColumn("len", F.explode_outer(F.when(F.col("n") > 1, F.sequence(F.lit(2), F.least(F.lit(longest), F.col("n") - F.col("i") + 1)))))
         .withColumn("piece", F.substring("word", F.col("i"), F.col("len")))
     )
-    packed = F.when(F.col("id").isNotNull(), F.shiftleft(F.col("id").cast("long"), 12).bitwiseOR(F.shiftleft((F.col("i") - 1).cast("long"), 6)).bitwiseOR(F.col("len").cast("long")))
+    parts = [(F.col("rank"), 32), (F.col("i") - 1, _START), (F.col("len"), _LENGTH), (F.col("id"), 0)]
+    packed = F.when(F.col("id").isNotNull(), reduce(Column.bitwiseOR, [F.shiftleft(c.cast("long"), k) for c, k in parts]))
     # the piece table has as many rows as the model: bounded
     return sub.join(F.broadcast(table), "piece", "left").groupBy("word", "n").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
 
@@ -103,8 +113,8 @@ def merge_fold(edge_list: Column, n: Column) -> tuple[Column, Column]:
 
     Bit k of the state says that a cut stands before character k.
     """
-    ends = lambda e: _one(_field(e, 6)).bitwiseOR(_one(_field(e, 6) + _field(e, 0)))
-    inner = lambda e: _one(_field(e, 6) + _field(e, 0)) - F.call_function("shiftleft", F.lit(2).cast("long"), _field(e, 6))
+    ends = lambda e: _one(_field(e, _START)).bitwiseOR(_one(_field(e, _START) + _field(e, _LENGTH)))
+    inner = lambda e: _one(_field(e, _START) + _field(e, _LENGTH)) - F.call_function("shiftleft", F.lit(2).cast("long"), _field(e, _START))
 
     def step(cuts: Column, e: Column) -> Column:
         merges = (cuts.bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(cuts.bitwiseAND(inner(e))) == 1)
@@ -119,11 +129,12 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     """``word, chosen``: packed multi-character pieces of each distinct word."""
     spark = words.sparkSession
     rows = piece_rows(path)
-    table = spark.createDataFrame([(p, i) for p, i, _ in rows if len(p) > 1], "piece string, id int")
+    rank = ranks(path)
+    table = spark.createDataFrame([(p, i, rank[p]) for p, i, _ in rows if len(p) > 1], "piece string, id int, rank int")
     lattice = edges(words.where(F.char_length("word") <= MAX_CHARS), table, max(len(p) for p, _, _ in rows))
     cuts, chosen = merge_fold(F.col("edges"), F.col("n"))
     odd = sorted({i for p, i, _ in rows if p in risky(path)})
-    safe = F.lit(True) if not odd else ~F.exists("edges", lambda e: F.shiftright(e, 12).isin(odd))
+    safe = F.lit(True) if not odd else ~F.exists("edges", lambda e: e.bitwiseAND(F.lit(_ID).cast("long")).isin(odd))
     return lattice.withColumn("cuts", cuts).select("word", F.when(safe, chosen).alias("chosen"))
 
 
@@ -186,7 +197,7 @@ def unit_table(spark: SparkSession, path: str, units: list[tuple[int, str]]) ->
         w, chosen = r["word"], r["chosen"]
         if chosen is None:
             continue
-        spans = {(e >> 6) & 63: (e >> 12, e & 63) for e in chosen}
+        spans = {(e >> _START) & 63: (e & _ID, (e >> _LENGTH) & 63) for e in chosen}
         out, k = [], 0
         while k < len(w):
             if k in spans:
