@@ -23,10 +23,13 @@ MIN_TERM, MAX_CJK = 2, 4
 BOUNDARY = "\x1e"
 CJK = "㐀-䶿一-鿿豈-﫿぀-ゟ゠-ヿㇰ-ㇿ가-힯"
 _NON_ASCII = r"[^\x00-\x7F]"
-_LETTER = rf"[\p{{L}}&&[^{CJK}]]"
+_LETTER = rf"[a-z\p{{L}}&&[^{CJK}]]"
+_IN_WORD = rf"[a-z0-9_[\p{{L}}\p{{N}}\p{{M}}&&[^{CJK}]]]"
+#: A CJK character, or word characters that hold a letter or digit, across marks
+#: between two letters or two digits.  Runs are possessive: nothing backtracks.
 WORDS = (
-    rf"[{CJK}]|(?:[\p{{L}}\p{{N}}\p{{M}}_&&[^{CJK}]]"
-    rf"|(?<={_LETTER})['.:’·](?={_LETTER})|(?<=\p{{N}})[.,;'’](?=\p{{N}}))+"
+    rf"[{CJK}]|(?=[\p{{M}}_]*+[a-z0-9[\p{{L}}\p{{N}}&&[^{CJK}]]]){_IN_WORD}++"
+    rf"(?:(?:(?<={_LETTER})['.:’·](?={_LETTER})|(?<=\p{{N}})[.,;'’](?=\p{{N}})){_IN_WORD}++)*+"
 )
 _IS_CJK = re.compile(f"[{CJK}]")
 _RUNS = re.compile(f"[{CJK}]+")
@@ -52,12 +55,12 @@ def normalize(text: Column, nfkc: bool = True) -> Column:
 
 
 def ascii_tokens(normalized: Column, min_term: int = MIN_TERM) -> Column:
-    return F.filter(F.split(normalized, "[^a-z0-9_]+"), lambda x: F.char_length(x) >= max(min_term, 1))
+    return F.regexp_extract_all(normalized, F.lit(f"[a-z0-9_]{{{max(min_term, 1)},}}+"), F.lit(0))
 
 
 def unicode_tokens(normalized: Column, min_term: int = MIN_TERM) -> Column:
     found = F.regexp_extract_all(normalized, F.lit(WORDS), F.lit(0))
-    return F.filter(found, lambda x: is_cjk(x) | ((F.char_length(x) >= min_term) & x.rlike(r"[\p{L}\p{N}]")))
+    return found if min_term <= 1 else F.filter(found, lambda x: (F.char_length(x) >= min_term) | is_cjk(x))
 
 
 def tokens(normalized: Column, min_term: int = MIN_TERM) -> Column:
@@ -79,7 +82,7 @@ def cjk_grams(normalized: Column, max_cjk: int = MAX_CJK) -> Column:
     """Terms, not tokens, of every maximal CJK run (n from 2: single ones are tokens)."""
     runs = F.regexp_extract_all(normalized, F.lit(f"[{CJK}]+"), F.lit(0))
     grams = F.flatten(F.transform(runs, lambda r: ngrams_of(r, 2, max_cjk)))
-    return F.when(normalized.rlike(f"[{CJK}]{{2}}"), F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.when(~is_ascii(normalized) & normalized.rlike(f"[{CJK}]{{2}}"), F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
 def analyze(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", min_term: int = MIN_TERM, max_cjk: int = MAX_CJK, nfkc: bool = True) -> DataFrame:

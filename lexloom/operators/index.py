@@ -13,9 +13,11 @@ ids are rejected by the importers; rows of one id must have been resolved before
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import analyzer as A
@@ -58,10 +60,26 @@ class Index:
     stored: DataFrame | None = None
     min_term: int = A.MIN_TERM
     max_cjk: int = A.MAX_CJK
+    #: analyzes those texts that may hold all given terms (unstored indexes of raw texts)
+    narrow: Callable[[list[str]], DataFrame] | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, columns: list[str], doc_id: str = "doc_id", min_term: int = A.MIN_TERM, max_cjk: int = A.MAX_CJK, nfkc: bool = True) -> Index:
-        return cls(A.analyze(docs, columns, doc_id, min_term, max_cjk, nfkc), None, min_term, max_cjk)
+        def analyzed(rows: DataFrame) -> DataFrame:
+            return A.analyze(rows, columns, doc_id, min_term, max_cjk, nfkc)
+
+        def narrow(terms: list[str]) -> DataFrame:
+            # a term that is no substring of any field is no token: texts without it aren't cut in words
+            fields = F.array(*[A.normalize(F.coalesce(F.col(c).cast("string"), F.lit("")), nfkc) for c in columns])
+            return analyzed(docs.withColumn("__fields", fields).where(reduce(Column.__and__, [F.exists("__fields", lambda f: F.contains(f, F.lit(t))) for t in terms])).drop("__fields"))
+
+        return cls(analyzed(docs), None, min_term, max_cjk, narrow)
+
+    def holding(self, terms: list[str]) -> DataFrame:
+        """Documents that hold all terms; analyzed rows."""
+        rows = self.narrow(terms) if self.narrow else self.doc_tokens
+        held = F.concat("tokens", "grams")
+        return rows.where(reduce(Column.__and__, [F.array_contains(held, t) for t in terms]))
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         if self.stored is None:
@@ -71,3 +89,13 @@ class Index:
     def corpus(self) -> tuple[int, int]:
         r = corpus_stats(self.doc_tokens).first()
         return r["n_docs"], r["total_len"]
+
+    def statistics(self, terms: list[str]) -> tuple[int, int, dict[str, int]]:
+        """Documents, tokens, and the document frequency of each term."""
+        if self.stored is not None:
+            found = self.postings(terms).groupBy("term").agg(F.count("*").alias("n")).collect()  # a row a term
+            return *self.corpus(), {t: 0 for t in terms} | {r["term"]: r["n"] for r in found}
+        held = F.concat("tokens", "grams")
+        rows = self.doc_tokens.select("dl", *[F.array_contains(held, t).cast("long").alias(f"d{i}") for i, t in enumerate(terms)])
+        r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), *[F.coalesce(F.sum(f"d{i}"), F.lit(0)).alias(f"d{i}") for i in range(len(terms))]).first()
+        return r["n"], r["total"], {t: r[f"d{i}"] for i, t in enumerate(terms)}

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import analyzer as A
+from lexloom.operators import index as I
 from lexloom.operators import search as S
 from lexloom.operators.index import Index
 
@@ -33,11 +34,11 @@ def search_scored(index: Index, query: str, k1: float = K1, b: float = B) -> Dat
     empty = index.doc_tokens.sparkSession.createDataFrame([], "doc_id long, score double")
     if not terms:
         return empty
-    posted = index.postings(terms)
-    df = {r["term"]: r["n"] for r in posted.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row a query term
-    if len(df) < len(terms):
+    n_docs, total, df = index.statistics(terms)
+    if not all(df.values()):
         return empty
-    n_docs, total = index.corpus()
+    # an unstored index ranks only documents that hold all terms
+    posted = index.postings(terms) if index.stored is not None else I.postings(index.holding(terms), terms)
     average = total / n_docs if n_docs else 0.0
     weight = F.create_map(*[F.lit(x) for t in terms for x in (t, idf(n_docs, df[t]))])[F.col("term")]
     damp = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(average or 1.0))

@@ -33,8 +33,7 @@ def all_terms(index: Index, terms: list[str]) -> DataFrame:
     if not terms:
         return nothing(index)
     if index.stored is None:
-        held = F.concat("tokens", "grams")
-        return index.doc_tokens.where(reduce(Column.__and__, [F.array_contains(held, t) for t in terms])).select("doc_id")
+        return index.holding(terms).select("doc_id")
     found = index.postings(terms).groupBy("doc_id").agg(F.count("*").alias("n"))
     return found.where(F.col("n") == len(terms)).select("doc_id")
 
@@ -52,9 +51,8 @@ def search(index: Index, query: str) -> DataFrame:
         return nothing(index)
     if not phrase:
         return all_terms(index, terms)
-    matched = index.doc_tokens.where(has_phrase(positional)).select("doc_id")
     if index.stored is None:
-        return matched  # a phrase implies its terms
+        return index.holding(terms).where(has_phrase(positional)).select("doc_id")
     candidates = all_terms(index, terms)
     return index.doc_tokens.join(candidates, "doc_id", "left_semi").where(has_phrase(positional)).select("doc_id")
 
