@@ -10,8 +10,8 @@ estimates clearly below the threshold are dropped.  What remains is joined to
 are confirmed on the full sets.  Candidates are linked within groups only, so a
 component never spans two groups.
 
-Nothing is capped: buckets are streamed in blocks whatever their size, and a
-group whose sets exceed ``group_bytes`` is confirmed block against block in
+Nothing is capped: a bucket too large for one task joins its documents to one of
+them without comparing them, and a group whose sets exceed ``group_bytes`` is confirmed block against block in
 tasks of bounded size instead of in one.  Bands are chosen so that a link at the
 threshold is missed with a probability of about 5e-8 (40 bands of 3).
 
@@ -37,7 +37,7 @@ from lexloom.llm import components
 from lexloom.llm import textnp as X
 
 N, BANDS, ROWS, BITS = 5, 40, 3, 1024
-GROUP_BYTES = 48 << 20
+GROUP_BYTES, HOT_BUCKET = 48 << 20, 8_192
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -157,27 +157,6 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop keys that one document has alone (input sorted by key)."""
-    held_key, held_id = None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k, d = np.asarray(b.column(0)), np.asarray(b.column(1))
-        if held_key is not None:
-            k, d = np.r_[held_key, k], np.r_[held_id, d]
-        same = k[1:] == k[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        if held_key is not None:
-            keep[: len(held_key)] |= held_shared
-        # the last row may go on in the next batch
-        held_key, held_id, held_shared = k[-1:], d[-1:], keep[-1:]
-        out = np.flatnonzero(keep[:-1])
-        yield pa.record_batch({"key": pa.array(k[out]), "doc_id": pa.array(d[out])})
-    if held_key is not None and held_shared[0]:
-        yield pa.record_batch({"key": pa.array(held_key), "doc_id": pa.array(held_id)})
-
-
 def bucket_edges(ids: np.ndarray, odd: np.ndarray, low: float, block: int = 256) -> tuple[list[int], list[int]]:
     """A spanning forest of the pairs of one bucket whose estimate is >= low.
 
@@ -219,11 +198,19 @@ def bucket_edges(ids: np.ndarray, odd: np.ndarray, low: float, block: int = 256)
     return left, right
 
 
-def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: a spanning forest of each bucket's likely links."""
+def candidate_edges(reps: DataFrame, threshold: float, hot: int = HOT_BUCKET) -> DataFrame:
+    """``a, b``: a spanning forest of each bucket's likely links.
+
+    Buckets are sized by an aggregate first.  One of more than ``hot`` documents
+    is never gathered: its documents all join its smallest one, which loses no
+    pair (what isn't alike is told apart when links are confirmed).
+    """
     low = _margin(threshold)
     keyed = reps.select("doc_id", "bands").mapInArrow(_explode_bands, "key long, doc_id long")
-    shared = C.materialize(C.spread(keyed, "key").sortWithinPartitions("key").mapInArrow(_shared_keys, "key long, doc_id long"), "buckets")
+    often = C.materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n >= 2"), "often")
+    found = C.materialize(C.hot_join(keyed, often.withColumn("size", F.col("n")), "key", "n", "inner"), "buckets")
+    shared = found.where(F.col("size") <= hot).select("key", "doc_id")
+    stars = found.where((F.col("size") > hot) & (F.col("doc_id") > F.col("least"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "key"):
@@ -248,7 +235,7 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     sketches = reps.select("doc_id", "odd").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
     return (
         C.spread(shared.join(sketches, "doc_id"), "key").sortWithinPartitions("key", "doc_id")
-        .mapInArrow(edges, "a long, b long").distinct()
+        .mapInArrow(edges, "a long, b long").distinct().unionByName(stars)
     )
 
 
@@ -323,8 +310,8 @@ def confirm(a: Sets, b: Sets | None, num: int, den: int, tree: np.ndarray | None
 def _confirmed(docs: DataFrame, groups: DataFrame, sizes: DataFrame, num: int, den: int, n: int, group_bytes: int) -> DataFrame:
     """Exact links ``a, b`` inside candidate groups (``doc_id, component``)."""
     schema = "a long, b long"
-    weighed = groups.join(sizes, "doc_id").groupBy("component").agg((F.sum("n_shingles") * 8).alias("bytes"), F.max("n_shingles").alias("most"))
-    members = groups.join(weighed, "component")
+    weighed = C.materialize(groups.join(sizes, "doc_id").groupBy("component").agg((F.sum("n_shingles") * 8).alias("bytes"), F.count("*").alias("members")), "weighed")
+    members = C.hot_join(groups, weighed, "component", "members", "inner")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,7 +358,7 @@ def _confirmed(docs: DataFrame, groups: DataFrame, sizes: DataFrame, num: int, d
     return normal.unionByName(inside).unionByName(sides.groupBy("component", "lo", "hi").applyInArrow(across, schema))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 70, den: int = 100, n: int = N, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 70, den: int = 100, n: int = N, group_bytes: int = GROUP_BYTES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     Links hold where ``den * |a & b| >= num * |a | b|``.
@@ -383,7 +370,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = C.materialize(classes, "classes")
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    edges = C.materialize(candidate_edges(reps, num / den), "candidates")
+    edges = C.materialize(candidate_edges(reps, num / den, hot_bucket), "candidates")
     groups = C.materialize(components.connected(edges), "groups")
     sizes = reps.select("doc_id", "n_shingles")
     first = docs.where(F.col("doc_id").isNotNull())

@@ -22,6 +22,7 @@ def check(spark, rows, **how):
 
 def test_equals_brute_force(spark):
     check(spark, corpus(2, 80) + NASTY)
+    check(spark, corpus(2, 80) + NASTY, hot_bucket=2, group_bytes=20_000)
 
 
 def test_large_groups_are_confirmed_in_blocks(spark):
@@ -32,6 +33,7 @@ def test_large_groups_are_confirmed_in_blocks(spark):
         w[i * 2 % 80] = f"own{i}"
         rows.append((i, " ".join(w)))
     check(spark, rows, group_bytes=4_000)
+    check(spark, rows, hot_bucket=3)
     assert {r["component_id"] for r in check(spark, rows)} == {0}
 
 
