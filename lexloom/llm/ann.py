@@ -213,6 +213,8 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embe
     s_id = drawn.id.to_numpy()
     s_unit = unit(np.frombuffer(b"".join(drawn.v), np.float64).reshape(-1, dim))
     shards = 2 ** max(0, min(math.ceil(math.log2(max(1, total / shard_rows))), int(math.log2(max(1, len(drawn) // 8)))))
+    # the sample bounds the number of shards; larger ones are dealt to parts by hash, and a query asks every part
+    parts = max(1, math.ceil(total / (shards * 4 * shard_rows)))
     shared = rows.sparkSession.sparkContext.broadcast((fit_top(s_unit, shards), s_id, s_unit))
     keep = 2 * k + 6
 
@@ -258,8 +260,8 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embe
                 score.extend(frame.s)
         return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    index = _distinct(vectors, k + 1).mapInArrow(assign, "shard int, v binary, ids array<long>")
-    asked = C.spread(vectors.where("q"), "id").select("id", "v").mapInArrow(route, "shard int, id long, v binary, bound double")
-    found = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(find, "query_id long, vec_id long, score double")
+    index = _distinct(vectors, k + 1).mapInArrow(assign, "shard int, v binary, ids array<long>").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
+    asked = C.spread(vectors.where("q"), "id").select("id", "v").mapInArrow(route, "shard int, id long, v binary, bound double").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    found = index.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

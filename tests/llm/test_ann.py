@@ -30,7 +30,7 @@ def exact(data, dim, k=5):
     return out
 
 
-@pytest.mark.parametrize("factor, shard_rows", [(1.0, 8192), (1.0, 60), (ann.FACTOR, 60)])
+@pytest.mark.parametrize("factor, shard_rows", [(1.0, 8192), (1.0, 60), (ann.FACTOR, 60), (1.0, 2)])
 def test_recall_against_brute_force(spark, factor, shard_rows):
     data, dim = rows()
     got = ann.search(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 50 == 0, factor=factor, sample_rows=200, shard_rows=shard_rows).collect()
