@@ -222,7 +222,8 @@ class SearchEngine:
         """Results in list order, out of one distributed job."""
         if not queries:
             return []
-        found = S.search_batch(self.index(), queries)
+        found = S.search_batch(self.index(), queries).cache()  # all results share it until clear_lru_cache
+        self._warm.append(found)
         return [ResultHandle(found.where(F.col("query_id") == i).select("doc_id"), q) for i, q in enumerate(queries)]
 
     def fuzzy_search(self, query: str, min_results: int = 5) -> ResultHandle:

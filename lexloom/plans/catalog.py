@@ -39,7 +39,7 @@ def built(spark: SparkSession, sf_dir: str) -> index.Index:
     """The unstored index of all documents, spread for tokenizing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     slots = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < slots:  # a file is one task; larger tables split by themselves
+    if len(docs.inputFiles()) < slots:  # a small file is one task; larger tables split by themselves
         docs = docs.repartition(slots)
     return index.Index.build(docs, ["text"])
 

@@ -84,8 +84,13 @@ class Manifest:
 
 
 def resolve(ops: DataFrame) -> DataFrame:
-    """The latest operation of each document, deletes included."""
-    return ops.groupBy("doc_id").agg(F.max("seq").alias("seq"), F.max_by("op", "seq").alias("op"))
+    """The latest operation of each document, deletes included.
+
+    Sequence and kind share one long, so the aggregate is a hash aggregate.
+    """
+    packed = F.col("seq") * 2 + (F.col("op") == UPSERT).cast("long")
+    last = ops.groupBy("doc_id").agg(F.max(packed).alias("last"))
+    return last.select("doc_id", F.shiftright("last", 1).alias("seq"), F.when(F.col("last") % 2 == 1, F.lit(UPSERT)).otherwise(F.lit(DELETE)).alias("op"))
 
 
 def live_documents(ops: DataFrame) -> DataFrame:
