@@ -68,3 +68,7 @@ def test_equals_sql(spark):
     want = con.execute(queries.OP4_SQL).df().sort_values("doc_id").reset_index(drop=True)
     mine = queries.op4_mixing(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert mine.astype(str).equals(want[mine.columns].astype(str))
+
+
+def test_oracle_names():
+    assert set(queries.ORACLE_SQL) == {"op2_minhash_neardup", "op4_mixing", "op9_substring_dedup"} <= set(queries.QUERIES)
