@@ -12,12 +12,12 @@ but leaves document frequencies as they are.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import analyzer as A
-from lexloom.operators import index as I
 from lexloom.operators import search as S
 from lexloom.operators.index import Index
 
@@ -30,20 +30,28 @@ def idf(n_docs: int, df: int) -> float:
 
 def search_scored(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """``doc_id, score`` of every document that matches."""
-    terms, _, phrase = A.py_query(query, index.min_term, index.max_cjk)
+    terms, positional, phrase = A.py_query(query, index.min_term, index.max_cjk)
     empty = index.doc_tokens.sparkSession.createDataFrame([], "doc_id long, score double")
     if not terms:
         return empty
     n_docs, total, df = index.statistics(terms)
     if not all(df.values()):
         return empty
-    # an unstored index ranks only documents that hold all terms
-    posted = index.postings(terms) if index.stored is not None else I.postings(index.holding(terms), terms)
     average = total / n_docs if n_docs else 0.0
-    weight = F.create_map(*[F.lit(x) for t in terms for x in (t, idf(n_docs, df[t]))])[F.col("term")]
     damp = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(average or 1.0))
-    part = weight * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + damp)
-    scored = posted.where("dl > 0").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(part).alias("score")).where(F.col("n") == len(terms)).select("doc_id", "score")
+
+    def part(term: str, tf: Column) -> Column:
+        return F.lit(idf(n_docs, df[term])) * tf * F.lit(k1 + 1) / (tf + damp)
+
+    # terms are added in one order, so equal documents get equal scores and ties are true ties
+    if index.stored is None:
+        rows = index.holding(terms).where("dl > 0")
+        rows = rows.where(S.has_phrase(positional)) if phrase else rows
+        parts = [part(t, F.size(F.filter("tokens", lambda x: x == t))) for t in terms]
+        return rows.select("doc_id", reduce(Column.__add__, parts).alias("score"))
+    each = [F.max(F.when(F.col("term") == t, part(t, F.col("tf")))).alias(f"p{i}") for i, t in enumerate(terms)]
+    scored = index.postings(terms).where("dl > 0").groupBy("doc_id").agg(F.count("*").alias("n"), *each).where(F.col("n") == len(terms))
+    scored = scored.select("doc_id", reduce(Column.__add__, [F.col(f"p{i}") for i in range(len(terms))]).alias("score"))
     return scored.join(S.search(index, query), "doc_id", "left_semi") if phrase else scored
 
 

@@ -58,12 +58,14 @@ def phrase(words: list[str], tok: str = "tok") -> str:
 
 def scored(terms: list[str], also: str = "SELECT doc_id FROM tok") -> str:
     """CTE ``scored(doc_id, score)`` by BM25 over documents that hold all terms."""
+    # one order of addition: equal documents get equal scores
+    added = " + ".join(f"max(p) FILTER (term = '{t}')" for t in sorted(terms))
     named = ", ".join(f"'{t}'" for t in terms)
     return f"""
 corpus AS (SELECT count(*) AS n, sum(len(tokens)) AS total FROM tok),
 hit AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(tokens, lambda x: x IN ({named}))) AS term FROM tok) GROUP BY ALL),
 freq AS (SELECT term, count(*) AS df FROM hit GROUP BY term),
-scored AS (SELECT h.doc_id, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.2::DOUBLE
-                               / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / (total / n::DOUBLE)))) AS score
-  FROM hit h JOIN freq USING (term) JOIN tok USING (doc_id), corpus
-  WHERE h.doc_id IN ({also}) GROUP BY h.doc_id HAVING count(*) = {len(terms)})"""
+part AS (SELECT h.doc_id, h.term, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.2::DOUBLE
+                               / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / (total / n::DOUBLE))) AS p
+  FROM hit h JOIN freq USING (term) JOIN tok USING (doc_id), corpus WHERE h.doc_id IN ({also})),
+scored AS (SELECT doc_id, {added} AS score FROM part GROUP BY doc_id HAVING count(*) = {len(terms)})"""
