@@ -97,8 +97,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """Documents with ``size, source_size, target, rate, copies, taken``."""
     C.check_columns(docs, doc_id, source, text)
     sized = sizes(docs, text)
-    per = sized.groupBy(F.col(source).alias("_s")).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
-    per = targets(cyclic_weights(per, "_s", cycle), total, cap)
+    # one row a source; written out, as ranging and each pass over the targets would count words again
+    per = C.materialize(sized.groupBy(F.col(source).alias("_s")).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "source-sizes")
+    per = targets(C.materialize(cyclic_weights(per, "_s", cycle), "weights"), total, cap)
     # null is a source: join on a never-null key
     key = lambda c: F.concat(F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(c, F.lit("")))
     per = per.select(key(F.col("_s")).alias("_k"), "source_size", "target", "_rows")
