@@ -14,8 +14,10 @@ group and loses no result.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have
 another length than the most frequent one take no part, as queries or
-candidates; null ids take no part; with fewer than k candidates all are
-returned; ties go to the smaller id; an empty table gives an empty result.
+candidates; null ids take no part; with fewer than k candidates all are returned; ties
+go to the smaller id, however many entries of one direction (scaled copies) tie:
+a query whose kept entries reach into the rounding error of its last needed
+distance compares all entries of the shard; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from pyspark.sql import functions as F
 from lexloom.llm import common as C
 
 SAMPLE_ROWS, SHARD_ROWS, BUCKET_ROWS, FACTOR = 8_192, 8_192, 192, 1.15
-_SLACK = 1e-7
 
 
 def matrix(array: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +69,11 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
+def slack(dim: int) -> float:
+    """Bound of a chord's rounding error (largest near zero, where it is a root)."""
+    return math.sqrt(8 * (dim + 8) * np.finfo(float).eps)
+
+
 def chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
@@ -145,7 +151,8 @@ class Tree:
         ``bound`` is each query's known upper bound of its need-th distance.
         """
         at, dist = np.full((len(q), keep), -1), np.full((len(q), keep), np.inf)
-        tau = bound + _SLACK
+        rounding = slack(self.u.shape[1])
+        tau = bound + rounding
 
         def visit(node, rows: np.ndarray) -> None:
             if not len(rows):
@@ -159,7 +166,7 @@ class Tree:
                     ids = np.concatenate([at[rows], np.broadcast_to(part, d.shape)], axis=1)
                     best = np.argsort(both, axis=1, kind="stable")[:, :keep]
                     dist[rows], at[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(ids, best, 1)
-                    tau[rows] = np.minimum(tau[rows], dist[rows, need - 1] + _SLACK)
+                    tau[rows] = np.minimum(tau[rows], dist[rows, need - 1] + rounding)
                 return
             v, mu, inside, outside = node
             d = chord(q[rows], v[None])[:, 0]
@@ -172,6 +179,21 @@ class Tree:
         visit(self.root, np.arange(len(q)))
         return at, dist
 
+    def unsure(self, dist: np.ndarray, need: int) -> np.ndarray:
+        """Queries of a search whose last kept entry is within rounding of the need-th."""
+        return np.isfinite(dist[:, -1]) & (dist[:, -1] <= dist[:, need - 1] + 2 * slack(self.u.shape[1]))
+
+
+def rank_all(q: np.ndarray, own: int, e: np.ndarray, members: list[list[int]], heads: tuple[np.ndarray, ...], k: int) -> list[tuple[int, float]]:
+    """The k best ``(id, score)`` of one query, compared with every entry."""
+    s = np.concatenate([cosine(np.broadcast_to(q, e[lo : lo + 4096].shape), e[lo : lo + 4096]) for lo in range(0, len(e), 4096)])
+    head, second, size = heads
+    first = np.where(head == own, second, head)
+    at = np.flatnonzero((head != own) | (size > 1))
+    # each of the entries before it holds a better id, so the first k entries hold the k best
+    at = at[np.lexsort((first[at], -s[at]))[:k]]
+    return sorted(((i, s[x]) for x in at for i in members[x] if i != own), key=lambda p: (-p[1], p[0]))[:k]
+
 
 def _distinct(vectors: DataFrame, keep: int) -> DataFrame:
     """(key, vector bytes, up to ``keep`` smallest ids) of equal vectors."""
@@ -236,7 +258,7 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embe
                 own = np.asarray(part.column(0))
                 d[own[:, None] == ids[None]] = np.inf
                 bound = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(u), np.inf)
-                r, s = np.nonzero(factor * top.bounds(u) <= bound[:, None] + _SLACK)
+                r, s = np.nonzero(factor * top.bounds(u) <= bound[:, None] + slack(dim))
                 yield pa.record_batch({"shard": pa.array(s, pa.int32()), "id": pa.array(own[r]), "v": pa.array([v[i] for i in r], pa.binary()), "bound": pa.array(bound[r])})
 
     def find(key, entries: pa.Table, asked: pa.Table) -> pa.Table:
@@ -246,10 +268,18 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embe
             members = entries.column("ids").to_pylist()
             tree = Tree(unit(e))
             own = np.asarray(asked.column("id"))
+            heads = tuple(np.array(x, np.int64) for x in zip(*[(m[0], m[min(1, len(m) - 1)], len(m)) for m in members]))
             for lo in range(0, len(own), 1024):
                 part = asked.slice(lo, 1024)
                 q = np.frombuffer(b"".join(part.column("v").to_pylist()), np.float64).reshape(-1, dim)
-                at, _ = tree.search(unit(q), np.asarray(part.column("bound")), keep, k + 1, factor)
+                at, dist = tree.search(unit(q), np.asarray(part.column("bound")), keep, k + 1, factor)
+                whole = tree.unsure(dist, k + 1)
+                at[whole] = -1
+                for x in np.flatnonzero(whole):
+                    for i, s in rank_all(q[x], own[lo + x], e, members, heads, k):
+                        ids.append(own[lo + x])
+                        near.append(i)
+                        score.append(s)
                 r, c = np.nonzero(at >= 0)
                 s = cosine(q[r], e[at[r, c]])
                 frame = pd.DataFrame({"q": own[lo + r], "i": [members[x] for x in at[r, c]], "s": s}).explode("i")

@@ -62,3 +62,14 @@ def test_tree_with_factor_one_is_exact():
     at, _ = tree.search(q, np.full(40, np.inf), 5, 5, 1.0)
     assert np.array_equal(np.sort(at, axis=1), np.sort(np.argsort(ann.chord(q, u), axis=1)[:, :5], axis=1))
     assert tree.compared < 40 * 900
+
+
+def test_scaled_copies_tie_by_id(spark):
+    """More entries of one direction than a shard keeps for a query."""
+    rng = np.random.default_rng(5)
+    v = np.array([3.0, 1.0, 2.0, 5.0])
+    data = [(int(i), (v * 2.0**x).tolist(), "s") for x, i in enumerate(rng.permutation(np.arange(1, 61)))]
+    data += [(100 + i, x.tolist(), "s") for i, x in enumerate(rng.normal(size=(40, 4)))]
+    got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>, score string"), F.col("vec_id").isin(1, 60), factor=1.0).collect()
+    near = {q: [g["vec_id"] for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == q] for q in (1, 60)}
+    assert near == {1: [2, 3, 4, 5, 6], 60: [1, 2, 3, 4, 5]}
