@@ -14,7 +14,9 @@ group and loses no result.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have
 another length than the most frequent one take no part, as queries or
-candidates; null ids take no part; with fewer than k candidates all are returned; ties
+candidates; null ids take no part; rows that repeat an id and its vector are one
+row; an id with several vectors is a candidate, and a query, with each of them,
+and never its own neighbour; with fewer than k candidates all are returned; ties
 go to the smaller id, however many entries of one direction (scaled copies) tie:
 a query whose kept entries reach into the rounding error of its last needed
 distance compares all entries of the shard; an empty table gives an empty result.
@@ -225,13 +227,14 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embe
             m = m + 0.0  # -0.0 equals 0.0
             yield pa.record_batch({"id": b.column(0).take(pa.array(at)), "v": pa.array([r.tobytes() for r in m], pa.binary()), "q": b.column(2).take(pa.array(at))})
 
+    # repeated rows are made one here, map-side first: they would count in the sample, its bounds and the ranks
     vectors = C.materialize(
-        rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector, F.coalesce(queries, F.lit(False)).alias("q")).mapInArrow(clean, "id long, v binary, q boolean"), "vectors")
+        rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector, F.coalesce(queries, F.lit(False)).alias("q")).mapInArrow(clean, "id long, v binary, q boolean").groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
     total = vectors.count()
     if not total:
         return rows.sparkSession.createDataFrame([], out_schema)
     # at most sample_rows rows; they bound distances and shape the top tree, nothing else
-    drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", "v").toPandas()
+    drawn = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(sample_rows).select("id", "v").toPandas()
     s_id = drawn.id.to_numpy()
     s_unit = unit(np.frombuffer(b"".join(drawn.v), np.float64).reshape(-1, dim))
     shards = 2 ** max(0, min(math.ceil(math.log2(max(1, total / shard_rows))), int(math.log2(max(1, len(drawn) // 8)))))
@@ -269,11 +272,14 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embe
             tree = Tree(unit(e))
             own = np.asarray(asked.column("id"))
             heads = tuple(np.array(x, np.int64) for x in zip(*[(m[0], m[min(1, len(m) - 1)], len(m)) for m in members]))
+            # ids with several entries: those of the query itself would use up the kept places
+            seen, times = np.unique(np.fromiter((i for m in members for i in m), np.int64), return_counts=True)
+            several = seen[times > 1]
             for lo in range(0, len(own), 1024):
                 part = asked.slice(lo, 1024)
                 q = np.frombuffer(b"".join(part.column("v").to_pylist()), np.float64).reshape(-1, dim)
                 at, dist = tree.search(unit(q), np.asarray(part.column("bound")), keep, k + 1, factor)
-                whole = tree.unsure(dist, k + 1)
+                whole = tree.unsure(dist, k + 1) | np.isin(own[lo : lo + len(q)], several)
                 at[whole] = -1
                 for x in np.flatnonzero(whole):
                     for i, s in rank_all(q[x], own[lo + x], e, members, heads, k):

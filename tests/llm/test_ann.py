@@ -73,3 +73,23 @@ def test_scaled_copies_tie_by_id(spark):
     got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>, score string"), F.col("vec_id").isin(1, 60), factor=1.0).collect()
     near = {q: [g["vec_id"] for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == q] for q in (1, 60)}
     assert near == {1: [2, 3, 4, 5, 6], 60: [1, 2, 3, 4, 5]}
+
+
+def test_repeated_rows_are_one_row(spark):
+    data, dim = rows(n=400, seed=4)
+    data = [d for d in data if d[0] is None or d[0] < 10_000]
+    want = exact(data, dim)
+    # every row six times, and one id in a third of all rows
+    many = [d for d in data for _ in range(6)] + [data[7]] * 1200
+    got = ann.search(spark.createDataFrame(many, SCHEMA), F.col("vec_id") % 50 == 0, factor=1.0, sample_rows=200, shard_rows=60).collect()
+    mine = {}
+    for g in sorted(got, key=lambda g: (g["query_id"], g["rank"])):
+        mine.setdefault(g["query_id"], []).append(g["vec_id"])
+    assert mine == {q: [i for i, _ in near] for q, near in want.items()}
+
+
+def test_an_id_with_many_vectors_finds_others(spark):
+    rng = np.random.default_rng(6)
+    data = [(0, (np.ones(4) + 0.001 * rng.normal(size=4)).tolist(), "s") for _ in range(30)] + [(1 + i, rng.normal(size=4).tolist(), "s") for i in range(20)]
+    got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>, score string"), F.col("vec_id") == 0, factor=1.0).collect()
+    assert len(got) == 5 and all(g["vec_id"] != 0 for g in got)
