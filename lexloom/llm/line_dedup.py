@@ -7,6 +7,11 @@ lost.  Chunks of two lines or more are counted over the whole table by a 128-bit
 key; those that occur again are fetched, compared byte by byte, and all but the
 first (smallest id, then first line) are removed.
 
+With ``whole_runs`` every window of ``min_lines`` neighbouring lines is a chunk of
+its own, so a repeated run is removed to its full length wherever boundaries
+would lie: a line goes if a window over it stands earlier.  The first place of a
+line always stays, and windows that overlap their own first place don't count.
+
 Counts and comparisons are aggregates with map-side partials, so a chunk that a
 third of all rows hold is never gathered.
 
@@ -72,14 +77,26 @@ def chunk_table(off: np.ndarray, buf: np.ndarray, width: int = WIDTH, divisor: i
     return rows[begin], inside[begin], last - begin + 1, starts[begin], ends[last], h1, h2
 
 
-def chunks(keyed: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+def window_table(off: np.ndarray, buf: np.ndarray, size: int = MIN_LINES):
+    """Like ``chunk_table``, for every ``size`` neighbouring lines of a row."""
+    starts, ends, first = lines(off, buf)
+    at, rows = X.window_starts(first, size)
+    h = X.hash_spans(buf, starts, ends)
+    h1, h2 = np.zeros(len(at), X.U64), np.zeros(len(at), X.U64)
+    for k in range(size):
+        mixed = X.mix(h[at + k] + X.U64(k * 0xD1B54A32D192ED03 & (2**64 - 1)))
+        h1, h2 = h1 + mixed, h2 ^ X.mix(mixed + _ROLL)
+    return rows, at - first[rows], np.full(len(at), size), starts[at], ends[at + size - 1], h1, h2
+
+
+def chunks(keyed: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, min_lines: int = MIN_LINES, whole_runs: bool = False) -> DataFrame:
     """``h1, h2, d, t, line, n, lo, hi``: each chunk of ``min_lines`` lines or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d, t = np.asarray(b.column(0)), np.asarray(b.column(1))
             for lo, _, off, buf in X.chunks(b.column(2)):
-                row, line, n, start, end, h1, h2 = chunk_table(off, buf, width, divisor)
+                row, line, n, start, end, h1, h2 = window_table(off, buf, min_lines) if whole_runs else chunk_table(off, buf, width, divisor)
                 k = np.flatnonzero(n >= min_lines)
                 row, base = row[k], off[row[k]]
                 yield pa.record_batch({
@@ -90,9 +107,9 @@ def chunks(keyed: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, min_lin
     return keyed.mapInArrow(run, "h1 long, h2 long, d long, t long, line int, n int, lo long, hi long")
 
 
-def repeated(keyed: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated(keyed: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, min_lines: int = MIN_LINES, whole_runs: bool = False) -> DataFrame:
     """``d, t, line, n, lo, hi`` of chunks that stand earlier, byte for byte."""
-    found = C.materialize(chunks(keyed, width, divisor, min_lines).withColumn("k", F.struct("h1", "h2")).drop("h1", "h2"), "chunks")
+    found = C.materialize(chunks(keyed, width, divisor, min_lines, whole_runs).withColumn("k", F.struct("h1", "h2")).drop("h1", "h2"), "chunks")
     often = C.materialize(found.groupBy("k").agg(F.count("*").alias("w")).where("w >= 2"), "often")
     again = C.hot_join(found, often, "k", "w", "inner").dropDuplicates(["k", "d", "t", "line"])
     spots = again.groupBy("d", "t").agg(F.collect_list(F.struct("k", "line", "n", "lo", "hi")).alias("spots"))
@@ -114,21 +131,36 @@ def repeated(keyed: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, min_l
         keyed.join(spots, ["d", "t"]).select("d", "t", "text", "spots")
         .mapInArrow(cut, "k struct<h1:long,h2:long>, bytes binary, d long, t long, line int, n int, lo long, hi long"), "fetched")
     place = F.struct("d", "t", "line")
+    first = F.col("keep")
+    # not the first place, and clear of it
+    later = (place != first) & ~((F.col("d") == first["d"]) & (F.col("t") == first["t"]) & (F.col("line") < first["line"] + F.col("n")))
     # equal bytes: all texts of a key agree if the least is the greatest
     same = fetched.groupBy("k").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"), F.min(place).alias("keep"), F.count("*").alias("w"))
     same = C.materialize(same.select("k", (F.col("least") == F.col("most")).alias("same"), "keep", "w"), "compared")
     joined = C.hot_join(fetched.drop("bytes"), same.where("same").drop("same"), "k", "w", "inner")
-    out = joined.where(place != F.col("keep")).select("d", "t", "line", "n", "lo", "hi")
+    out = joined.where(later).select("d", "t", "line", "n", "lo", "hi")
     if same.where("not same").limit(1).count():
         # keys that collided: compare inside equal bytes
         odd = C.hot_join(fetched, same.where("not same").select("k", "w"), "k", "w", "inner").withColumn("kb", F.struct("k", "bytes"))
         exact = C.materialize(odd.groupBy("kb").agg(F.min(place).alias("keep"), F.count("*").alias("w")), "exact")
-        rest = C.hot_join(odd, exact, "kb", "w", "inner").where(place != F.col("keep"))
+        rest = C.hot_join(odd, exact, "kb", "w", "inner").where(later)
         out = out.unionByName(rest.select("d", "t", "line", "n", "lo", "hi"))
     return out
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+def merged(marks: list[dict]) -> list[dict]:
+    """Sorted spans, those that overlap as one."""
+    out: list[dict] = []
+    for m in marks:
+        if out and m["line"] < out[-1]["line"] + out[-1]["n"]:
+            out[-1] |= {"n": m["line"] + m["n"] - out[-1]["line"], "hi": m["hi"]}
+        else:
+            out.append(dict(m))
+    return out
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, divisor: int = DIVISOR, min_lines: int = MIN_LINES,
+          whole_runs: bool = False) -> DataFrame:
     """Documents with ``text`` cut, ``n_lines`` before, ``n_removed`` and ``spans``.
 
     Spans are the removed ``(line, n)``.  Kept lines stay joined by newlines.
@@ -141,7 +173,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
     # a chunk of two lines holds a newline
     able = F.contains("text", F.lit("\n"))
-    spots = repeated(keyed.where(able).select("d", "t", "text"), width, divisor, min_lines).groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("line", "n", "lo", "hi"))).alias("spots"))
+    spots = repeated(keyed.where(able).select("d", "t", "text"), width, divisor, min_lines, whole_runs).groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("line", "n", "lo", "hi"))).alias("spots"))
     joined = keyed.where(able).join(spots, ["d", "t"], "left").select("row", "spots")
     rest = keyed.where(~able).select("row", F.lit(None).cast(joined.schema["spots"].dataType).alias("spots"))
     every = joined.unionByName(rest).select("row.*", F.col("spots").alias("__spots"))
@@ -157,9 +189,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
             count, gone, cuts = [], [], []
             for i, marks in enumerate(spots):
                 x = raw[i]
+                marks = merged(marks or [])
                 count.append(0 if x is None else x.count("\n") + 1)
-                gone.append(sum(m["n"] for m in marks or ()))
-                cuts.append([{"line": m["line"], "n": m["n"]} for m in marks or ()])
+                gone.append(sum(m["n"] for m in marks))
+                cuts.append([{"line": m["line"], "n": m["n"]} for m in marks])
                 if marks:
                     data = x.encode("utf-8", "surrogatepass")
                     keep, p = [], 0

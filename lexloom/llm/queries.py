@@ -60,7 +60,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", "spans", "text")
+    return line_dedup.dedup(docs, whole_runs=True).select("doc_id", "n_lines", "n_removed", "spans", "text")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,22 @@ def test_lines_of_many_rows():
         s, e, first = L.lines(off, buf)
         got = [[bytes(buf[s[i] : e[i]]).decode() for i in range(first[r], first[r + 1])] for r in range(hi - lo)]
         assert got == [t.split("\n") for t in texts]
+
+
+def test_whole_runs_go_to_their_full_length(spark):
+    """Every line under two neighbouring lines that stand earlier, by dictionaries."""
+    shared = [f"shared {i}" for i in range(5)]
+    rows = [(d, "\n".join([f"head {d}", *shared[d % 3 :], f"tail {d}", f"end {d}"])) for d in range(12)]
+    rows += [(d, t) for d, t in corpus(3, 80) if d] + [(900, "a\na\na\na\na"), (901, "x\n\n\n\ny"), (902, "x\n\n\n\ny"), (903, None), (904, "one"), (None, rows[0][1])]
+    first, want = {}, {}
+    for d, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        lines, gone = (t or "").split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            at = first.setdefault(pair, (d, i))
+            if at != (d, i) and (at[0] != d or i >= at[1] + 2):
+                gone |= {i, i + 1}
+        want[d] = None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
+    got = {r["doc_id"]: r for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole_runs=True).collect()}
+    assert {d: (r["text"], r["n_removed"]) for d, r in got.items()} == want
+    assert got[3]["text"] == "head 3\ntail 3\nend 3" and got[900]["text"] == "a\na"
+    assert all(sum(s["n"] for s in r["spans"]) == r["n_removed"] for r in got.values())
