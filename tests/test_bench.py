@@ -1,0 +1,7 @@
+import __spark_entry__ as entry
+import bench
+
+
+def test_every_operator_and_the_pipeline_are_timed_by_default():
+    names = bench.default_names(entry.queries())
+    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names and len(names) == len(set(names))
