@@ -8,13 +8,17 @@ of its k-th nearest sample row (an upper bound of the true one).  Inside a shard
 a vantage-point tree is walked with the same relaxed pruning.  Factor one
 restores exact search; larger factors prune more.
 
+Queries that go to one shard are dealt to blocks of about ``query_block``, each with
+the shard's entries beside it, so no task holds an unbounded number of either.
+
 Equal vectors are one entry that keeps the smallest ids that can matter (k+1),
 merged map-side first, so a vector shared by a third of all rows is no hot
 group and loses no result.
 
-Cases: vectors that are null, zero, hold null or non-finite components, or have
-another length than the most frequent one take no part, as queries or
-candidates; null ids take no part; rows that repeat an id and its vector are one
+Cases: vectors that are null, zero, or hold null or non-finite components take no
+part, as queries or candidates; vectors of different lengths have no cosine, so
+each length is searched by itself; null ids take no part; only id and vector are
+read, so further columns can't clash; rows that repeat an id and its vector are one
 row; an id with several vectors is a candidate, and a query, with each of them,
 and never its own neighbour; with fewer than k candidates all are returned; ties
 go to the smaller id, however many entries of one direction (scaled copies) tie:
@@ -27,6 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +41,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import common as C
 
-SAMPLE_ROWS, SHARD_ROWS, BUCKET_ROWS, FACTOR = 8_192, 8_192, 192, 1.15
+OUT = "query_id long, rank int, vec_id long, score double"
+SAMPLE_ROWS, SHARD_ROWS, BUCKET_ROWS, QUERY_BLOCK, FACTOR = 8_192, 8_192, 192, 4_096, 1.15
 
 
 def matrix(array: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,14 +218,24 @@ def _distinct(vectors: DataFrame, keep: int) -> DataFrame:
 
 
 def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, factor: float = FACTOR,
-           sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+           sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of every row where ``queries`` holds."""
     C.check_columns(rows, id_col, vector)
-    lengths = rows.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    if lengths is None or not lengths["d"]:
-        return rows.sparkSession.createDataFrame([], out_schema)
-    dim = int(lengths["d"])
+    rows = rows.where(F.col(id_col).isNotNull() & (F.size(vector) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"), F.coalesce(queries, F.lit(False)).alias("q"))
+    # a row a length; those without a query, or with a query alone, have nothing to return
+    lengths = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max("q").alias("q")).where("n > 1 and q").orderBy("d").collect()
+    found = [_search(rows.where(F.size("vector") == r["d"]), int(r["d"]), k, factor, sample_rows, shard_rows, query_block) for r in lengths]
+    if not found:
+        return rows.sparkSession.createDataFrame([], OUT)
+    # an id with vectors of several lengths is a query with each: its best k of all
+    found = reduce(DataFrame.unionByName, found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.distinct().withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, dim: int, k: int, factor: float, sample_rows: int, shard_rows: int, query_block: int) -> DataFrame:
+    """``query_id, vec_id, score`` of ``id, vector, q`` of one length, k of each shard at most."""
+    nothing = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,10 +245,10 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embe
 
     # repeated rows are made one here, map-side first: they would count in the sample, its bounds and the ranks
     vectors = C.materialize(
-        rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector, F.coalesce(queries, F.lit(False)).alias("q")).mapInArrow(clean, "id long, v binary, q boolean").groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
+        rows.mapInArrow(clean, "id long, v binary, q boolean").groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
     total = vectors.count()
     if not total:
-        return rows.sparkSession.createDataFrame([], out_schema)
+        return nothing
     # at most sample_rows rows; they bound distances and shape the top tree, nothing else
     drawn = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(sample_rows).select("id", "v").toPandas()
     s_id = drawn.id.to_numpy()
@@ -296,8 +312,11 @@ def search(rows: DataFrame, queries, id_col: str = "vec_id", vector: str = "embe
                 score.extend(frame.s)
         return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(near, pa.int64()), "score": pa.array(score, pa.float64())})
 
+    asked = C.materialize(C.spread(vectors.where("q"), "id").select("id", "v").mapInArrow(route, "shard int, id long, v binary, bound double"), "asked")
+    # at most as many rows as shards, which the sample bounds
+    blocks = F.broadcast(asked.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks")))
     index = _distinct(vectors, k + 1).mapInArrow(assign, "shard int, v binary, ids array<long>").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
-    asked = C.spread(vectors.where("q"), "id").select("id", "v").mapInArrow(route, "shard int, id long, v binary, bound double").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = index.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(find, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    index = index.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["shard", "part", "block"]
+    return index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(find, "query_id long, vec_id long, score double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,13 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary one is made.
+    Only where a local session names none (tests) a temporary one is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lexloom-"))
     return _own_dir[0]
@@ -32,11 +35,46 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and reread it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of all tables that this application writes."""
+    return f"{shared_dir(spark)}/lexloom/{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables this application wrote; results that still read them end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns called like ``names`` renamed, and the columns that undo it."""
+    low = {n.lower() for n in names}
+    moved = {c: fresh(df, f"{c}_own")[0] for c in df.columns if c.lower() in low}
+    return df.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns]
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns that an operator's output replaces (case aside)."""
+    low = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
 def n_words(text: str | Column) -> Column:
     """Number of words of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,8 +19,10 @@ Cases: null texts stay null and empty ones empty; a text of one line or chunks
 of one line are never touched; texts whose key agrees but whose bytes differ are
 compared within equal bytes only; rows repeated with one id and text count as one
 document (both keep or lose the same lines, and never each other's); rows of one
-id and different texts are different documents; null ids come last; further
-columns pass through; an empty table gives an empty result.
+id and different texts are different documents; null ids come last; ties (equal
+texts of different ids) keep the smaller id's lines; further columns pass through,
+except those named like an output column, which are replaced; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from lexloom.llm import common as C
 from lexloom.llm import textnp as X
 
 WIDTH, DIVISOR, MIN_LINES = 2, 4, 2
+NEW = ["n_lines", "n_removed", "spans"]
 _ROLL = X.U64(0x9E3779B97F4A7C15)
 
 
@@ -166,8 +169,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     Spans are the removed ``(line, n)``.  Kept lines stay joined by newlines.
     """
     C.check_columns(docs, doc_id, text)
-    new = ["n_lines", "n_removed", "spans"]
-    docs = docs.drop(*[c for c in new if c in docs.columns])
+    new = NEW
+    docs = C.without(docs, new)
     # one struct holds all input columns, so none can clash with those of this operator
     keyed = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
@@ -176,7 +179,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     spots = repeated(keyed.where(able).select("d", "t", "text"), width, divisor, min_lines, whole_runs).groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct("line", "n", "lo", "hi"))).alias("spots"))
     joined = keyed.where(able).join(spots, ["d", "t"], "left").select("row", "spots")
     rest = keyed.where(~able).select("row", F.lit(None).cast(joined.schema["spots"].dataType).alias("spots"))
-    every = joined.unionByName(rest).select("row.*", F.col("spots").alias("__spots"))
+    every = joined.unionByName(rest).select("row.*", F.col("spots").alias(C.fresh(docs, "spots")[0]))
     at = docs.columns.index(text)
     full = T.StructType([*docs.schema.fields, *C.schema("n_lines long, n_removed long, spans array<struct<line:int,n:int>>").fields])
     span = pa.list_(pa.struct([("line", pa.int32()), ("n", pa.int32())]))

@@ -6,9 +6,10 @@ one hash-seeded Bernoulli copy whose probability is the fraction.
 
 Cases: null or empty texts have size 0 and are taken 0 words; null sources are
 one source of their own, last in order; a document's copies are a pure function
-of its id, its size and the seed, so reruns agree; rows repeated in the input
-are separate documents that decide alike; further columns pass through.  An
-empty table gives an empty result.
+of its id and the seed, so reruns agree; rows repeated in the input are separate
+documents that decide alike, and so do rows of null id and one text; ties (equal
+cap ratios) are capped together.  Further columns pass through, except those named
+like an output column, which are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from lexloom.llm import common as C
 
 CYCLE = (5.0, 2.0, 1.0)
 TOTAL, CAP, SEED = 1.5, 2.0, "mix-1"
+NEW = ["size", "source_size", "target", "rate", "copies", "taken"]
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -96,20 +98,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         total: float = TOTAL, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """Documents with ``size, source_size, target, rate, copies, taken``."""
     C.check_columns(docs, doc_id, source, text)
+    docs = C.without(docs, [c for c in NEW if c not in (doc_id, source, text)])
+    (k,) = C.fresh(docs, "_k")
     sized = sizes(docs, text)
     # one row a source; written out, as ranging and each pass over the targets would count words again
     per = C.materialize(sized.groupBy(F.col(source).alias("_s")).agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), "source-sizes")
     per = targets(C.materialize(cyclic_weights(per, "_s", cycle), "weights"), total, cap)
     # null is a source: join on a never-null key
     key = lambda c: F.concat(F.when(c.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(c, F.lit("")))
-    per = per.select(key(F.col("_s")).alias("_k"), "source_size", "target", "_rows")
+    per = per.select(key(F.col("_s")).alias(k), "source_size", "target", F.col("_rows").alias("_weight"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # documents of null id draw by their text, else all would share one draw
+    name = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
     return (
-        C.hot_join(sized.withColumn("_k", key(F.col(source))), per, "_k", "_rows")
+        C.hot_join(sized.withColumn(k, key(F.col(source))), per, k, "_weight")
         .withColumn("rate", rate)
-        .withColumn("copies", (F.floor("rate") + (uniform(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+        .withColumn("copies", (F.floor("rate") + (uniform(name, seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_k")
+        .drop(k)
     )
 
 

@@ -11,15 +11,20 @@ are confirmed on the full sets.  Candidates are linked within groups only, so a
 component never spans two groups.
 
 Nothing is capped: a bucket too large for one task joins its documents to one of
-them without comparing them, and a group whose sets exceed ``group_bytes`` is confirmed block against block in
-tasks of bounded size instead of in one.  Bands are chosen so that a link at the
+them without comparing their sketches, and a group whose sets exceed ``group_bytes`` is
+confirmed in blocks of bounded size: first inside each block, then between the
+blocks' main trees, and then what no main tree holds yet against every block, so a
+group of like documents costs in proportion to its size.  Bands are chosen so that a link at the
 threshold is missed with a probability of about 5e-8 (40 bands of 3).
 
 Cases: null, empty and blank texts have an empty set (n_shingles 0), are linked
 with nothing and kept; texts of fewer than five words are one shingle, the whole
 sequence; words compare with A-Z lower-cased; rows repeated with one id are one
-document (their ids agree, so they fall in one component); null ids are left
-out of the result; texts are never cut; an empty table gives an empty result.
+document (their ids agree, so they fall in one component; each of its texts is
+compared); null ids are left out of the result; ties go to the smaller id; texts
+are never cut; only id and text are read, so further columns can't clash; an empty
+table gives an empty result.  Sets hold 64-bit hashes of shingles: links are exact
+but for hash collisions (two different shingles of a pair agree with 2^-64).
 """
 
 from __future__ import annotations
@@ -341,11 +346,30 @@ def _confirmed(docs: DataFrame, groups: DataFrame, sizes: DataFrame, num: int, d
     blocks = full.where(F.col("bytes") > group_bytes).withColumn("blocks", F.ceil(2 * F.col("bytes") / F.lit(group_bytes)).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     inside = C.materialize(blocks.groupBy("component", "block").applyInArrow(one, schema), "inside")
-    label = components.connected(inside).select(F.col("doc_id"), F.col("component").alias("tree"))
-    blocks = blocks.join(label, "doc_id", "left").withColumn("tree", F.coalesce("tree", "doc_id"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sides = blocks.withColumn("other", other).where("other <> block").select(
-        "component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") < F.col("other")).alias("first"), "doc_id", "s", "tree")
+    rows = blocks.select("component", "block", "blocks", "doc_id", (F.length("s")).alias("bytes")).distinct()
+
+    def trees(links: DataFrame) -> DataFrame:
+        """``rows`` with the tree of each document."""
+        label = components.connected(links).select("doc_id", F.col("component").alias("tree"))
+        return rows.join(label, "doc_id", "left").withColumn("tree", F.coalesce("tree", "doc_id"))
+
+    def largest(of: DataFrame, *keys: str) -> DataFrame:
+        size = of.groupBy(*keys, "tree").agg(F.count("*").alias("w"))
+        return size.groupBy(*keys).agg(F.max_by("tree", F.struct("w", -F.col("tree"))).alias("tree"))
+
+    # the largest tree of each block, by its first document: one a block, so this group is small
+    heads = largest(trees(inside), "component", "block").select("component", F.col("tree").alias("doc_id"))
+    bridges = C.materialize(blocks.join(heads, ["component", "doc_id"], "left_semi").groupBy("component").applyInArrow(one, schema), "bridges")
+    found = C.materialize(trees(inside.unionByName(bridges)), "trees")
+    # members of a component's main tree are joined already: only the others still visit all blocks,
+    # in parts of bounded size
+    main = largest(found, "component").withColumnRenamed("tree", "main")
+    found = found.join(main, "component").withColumn("guest", F.col("tree") != F.col("main"))
+    tours = found.where("guest").groupBy("component").agg(F.ceil(2 * F.sum("bytes") / F.lit(group_bytes)).cast("int").alias("tours"))
+    sided = blocks.select("doc_id", "s").join(found.join(tours, "component").drop("bytes"), "doc_id")
+    natives = sided.withColumn("tour", F.explode(F.sequence(F.lit(0), F.col("tours") - 1))).withColumn("first", F.lit(False))
+    guests = sided.where("guest").withColumn("tour", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.col("tours")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("first", F.lit(True))
+    sides = natives.unionByName(guests).select("component", "block", "tour", "first", "doc_id", "s", "tree")
 
     def across(table: pa.Table) -> pa.Table:
         first = np.asarray(table.column("first"))
@@ -355,7 +379,7 @@ def _confirmed(docs: DataFrame, groups: DataFrame, sizes: DataFrame, num: int, d
         left, right = confirm(a, b, num, den, tree)
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return normal.unionByName(inside).unionByName(sides.groupBy("component", "lo", "hi").applyInArrow(across, schema))
+    return normal.unionByName(inside).unionByName(bridges).unionByName(sides.groupBy("component", "block", "tour").applyInArrow(across, schema))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 70, den: int = 100, n: int = N, group_bytes: int = GROUP_BYTES, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -369,7 +393,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     filled = sketches.where("n_shingles > 0")
     classes = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = C.materialize(classes, "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # rows of one id and different texts all speak for it
+    reps = filled.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "n_shingles"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n_shingles"])
     edges = C.materialize(candidate_edges(reps, num / den, hot_bucket), "candidates")
     groups = C.materialize(components.connected(edges), "groups")
     sizes = reps.select("doc_id", "n_shingles")
@@ -391,5 +416,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **ho
     Null ids are kept (they were not compared); of rows that repeat a kept id all
     are kept, as they are one document.
     """
-    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
+    (name,) = C.fresh(docs, "gone")
+    gone = near_duplicates(docs, doc_id, text, **how).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")

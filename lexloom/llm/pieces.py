@@ -37,7 +37,7 @@ def processor(path: str):
         p = sp.id_to_piece(i)
         if "\n" in p or MARK in p.lstrip(MARK):
             raise ValueError(f"piece {p!r} crosses units; this model can't be split at spaces")
-    if [sp.id_to_piece(i) for i in sp.encode("Ａ  x")][-2:] != [MARK, MARK + "x"] and sp.decode(sp.encode("Ａ  x")) != "Ａ  x":
+    if [sp.id_to_piece(i) for i in sp.encode("Ａ  x")][-2:] != [MARK, MARK + "x"] or sp.decode(sp.encode("Ａ  x")) != "Ａ  x":
         raise ValueError("only models with an identity normaliser are supported")
     return sp
 

@@ -69,7 +69,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
 o AS (SELECT *, sum(2.0::DOUBLE * source_size) OVER r AS held, sum(weight) OVER () - sum(weight) OVER r AS w_left,
@@ -81,10 +81,10 @@ c AS (SELECT *, weight * ((total - coalesce(held_before, 0.0::DOUBLE)) / w_befor
 l AS (SELECT any_value((total - coalesce(h, 0.0::DOUBLE)) / wl) AS level
       FROM (SELECT max(total) AS total, sum(2.0::DOUBLE * source_size) FILTER (capped) AS h, sum(weight) FILTER (NOT capped) AS wl FROM c)),
 t AS (SELECT source, source_size, CAST(CASE WHEN capped THEN 2.0::DOUBLE * source_size ELSE weight * level END AS DOUBLE) AS target FROM c, l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate
+r AS (SELECT d.doc_id, d.text, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       size * CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+       size * CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
 FROM r
 """
 

@@ -12,13 +12,15 @@ not what the library gives; its edges are folded in order of merge rank instead:
 the state is a bit mask of the cuts left in the word, and an edge that spans
 exactly one cut removes it.  One pass in that order equals the library wherever
 each piece is built by merges of rising rank; pieces for which that isn't so are
-found once per model (``risky``), and words that hold one, as well as words of
-over ``MAX_CHARS`` characters, take the library's own route.
+found once per model (``risky``); a model that has some is refused.
 
 The encoding pass is one map: units are looked up in the broadcast table, whose
-size is bounded; units not in it are encoded once per worker and cached.  No
-unit is dropped, and ids never depend on what the table holds.  Decoding gathers
-the pieces' bytes.
+size is bounded; units not in it, words of over ``MAX_CHARS`` characters (a bit
+mask has 64) and words behind several spaces (pieces of spaces tie) go through the same lattice inside the worker (``lattice``: the three
+steps in numpy, many words at a time) once, and are cached.  No unit is dropped, none
+is encoded by the library, and ids never depend on what the table holds.  Joining
+all units back to their documents instead would shuffle more than the texts.
+Decoding gathers the pieces' bytes.
 
 Cases: null and empty texts have no ids and decode to the empty text; texts are
 never cut; characters without a piece become byte pieces; a literal U+2581 is a
@@ -42,6 +44,7 @@ from lexloom.llm import common as C
 from lexloom.llm import pieces as P
 from lexloom.llm import textnp as X
 from lexloom.llm import token_counts
+from lexloom.llm.lattice import Lattice
 
 TABLE_ROWS, PER_PARTITION, CACHE_ROWS, MAX_CHARS = 131_072, 32_768, 1_000_000, 60
 #: Places of the fields of a packed edge: rank from bit 32, id below bit 20.
@@ -132,10 +135,10 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     rank = ranks(path)
     table = spark.createDataFrame([(p, i, rank[p]) for p, i, _ in rows if len(p) > 1], "piece string, id int, rank int")
     lattice = edges(words.where(F.char_length("word") <= MAX_CHARS), table, max(len(p) for p, _, _ in rows))
+    if risky(path):
+        raise ValueError(f"pieces built by merges of falling rank: {sorted(risky(path))[:5]}")
     cuts, chosen = merge_fold(F.col("edges"), F.col("n"))
-    odd = sorted({i for p, i, _ in rows if p in risky(path)})
-    safe = F.lit(True) if not odd else ~F.exists("edges", lambda e: e.bitwiseAND(F.lit(_ID).cast("long")).isin(odd))
-    return lattice.withColumn("cuts", cuts).select("word", F.when(safe, chosen).alias("chosen"))
+    return lattice.withColumn("cuts", cuts).select("word", chosen.alias("chosen"))
 
 
 def viterbi(words: DataFrame, table: DataFrame, unknown: float = -1e3) -> DataFrame:
@@ -170,6 +173,14 @@ def viterbi(words: DataFrame, table: DataFrame, unknown: float = -1e3) -> DataFr
     return lattice.withColumn("best", best).select("word", cut.alias("pieces"), F.col("best.score").alias("score"))
 
 
+@lru_cache(maxsize=4)
+def lattice(path: str) -> Lattice:
+    """The worker's lattice."""
+    if risky(path):
+        raise ValueError(f"pieces built by merges of falling rank: {sorted(risky(path))[:5]}")
+    return Lattice(path, piece_rows(path))
+
+
 class Ids:
     """Ids of units: a sorted table of unit hashes over flat ids, plus a cache."""
 
@@ -188,15 +199,13 @@ def unit_table(spark: SparkSession, path: str, units: list[tuple[int, str]]) ->
     def single(c: str) -> list[int]:
         return [chars[c]] if c in chars else [sp.piece_to_id(f"<0x{x:02X}>") for x in c.encode("utf-8")]
 
-    word = {P.MARK * k + w: (k, w) for k, w in units}
+    word = {P.MARK * k + w: (k, w) for k, w in units if k < 2}  # runs of marks tie, see ``lattice``
     frame = spark.createDataFrame([(w,) for w in word], "word string")
     frame = frame.repartition("word")
     ids: list[list[int]] = []
     names: list[tuple[int, str]] = []
     for r in encode_words(frame, path).toLocalIterator():
         w, chosen = r["word"], r["chosen"]
-        if chosen is None:
-            continue
         spans = {(e >> _START) & 63: (e & _ID, (e >> _LENGTH) & 63) for e in chosen}
         out, k = [], 0
         while k < len(w):
@@ -227,12 +236,29 @@ def gather(first: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 
 class Encoder:
-    """Encodes chunks of texts; units outside the table are cached."""
+    """Encodes chunks of texts; units outside the table go through the worker's lattice and are cached."""
 
     def __init__(self, path: str, table: Ids, cache_rows: int = CACHE_ROWS):
-        self.path, self.table, self.cache_rows = path, table, cache_rows
+        self.table, self.cache_rows = table, cache_rows
         self.cache: dict[int, list[int]] = {}
-        self.line = P.processor(path).encode("\n\n")[-1]
+        self.lattice = lattice(path)
+        buf = np.frombuffer(b"\n" + b"\0" * 8, np.uint8)
+        self.line = self.lattice.encode(buf, np.array([0]), np.array([1]), np.array([0]))[0].tolist()
+        self.runs: dict[int, list[int]] = {}
+
+    def units(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaces: np.ndarray) -> list[list[int]]:
+        ids, count = self.lattice.encode(buf, starts, ends, spaces)
+        cut = np.r_[0, np.cumsum(count)].tolist()
+        ids = ids.tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
+
+    def run(self, spaces: int) -> list[int]:
+        """Ids of a run of spaces without a word."""
+        if spaces not in self.runs:
+            if len(self.runs) > 4096:
+                self.runs.clear()
+            self.runs[spaces] = self.units(np.zeros(8, np.uint8), np.array([0]), np.array([0]), np.array([spaces]))[0]
+        return self.runs[spaces]
 
     def __call__(self, off: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in order, and the number of ids of each row."""
@@ -246,13 +272,16 @@ class Encoder:
         distinct, one, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
         known = [self.cache.get(x) for x in distinct.tolist()]
         fresh = [i for i, x in enumerate(known) if x is None]
-        for i, ids in zip(fresh, P.encode_units(self.path, [u.text(miss[one[i]]) for i in fresh])):
-            known[i] = ids
+        for lo in range(0, len(fresh), 50_000):
+            some = fresh[lo : lo + 50_000]
+            x = miss[one[some]]
+            for i, ids in zip(some, self.units(buf, u.starts[x], u.ends[x], u.spaces[x])):
+                known[i] = ids
         if len(self.cache) + len(fresh) > self.cache_rows:
             self.cache.clear()
         self.cache.update((int(distinct[i]), known[i]) for i in fresh[: self.cache_rows])
         runs, run_of = np.unique(u.lone_spaces, return_inverse=True)
-        extra = [*known, *(list(P.run_ids(self.path, int(k))) for k in runs), [self.line]]
+        extra = [*known, *(self.run(int(k)) for k in runs), self.line]
         flat = np.concatenate([t.flat, np.array([x for y in extra for x in y], np.int32)])
         first = np.r_[t.first, t.first[-1] + np.cumsum([len(x) for x in extra])]
         slot[miss] = len(t.keys) + inverse
@@ -302,7 +331,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", table_r
     C.check_columns(docs, text)
     path = path or P.model_path()
     new = ["ids", "n_pieces", "round_trip"]
-    docs = docs.drop(*[c for c in new if c in docs.columns])
+    docs = C.without(docs, new)
     at = docs.columns.index(text)
     units = token_counts.frequent(docs, text, PER_PARTITION, table_rows) if table_rows else []
     shared = docs.sparkSession.sparkContext.broadcast(unit_table(docs.sparkSession, path, units))  # bounded by table_rows
@@ -326,7 +355,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
     """Rows with ``decoded``; null ids decode to null, null elements are skipped."""
     C.check_columns(encoded, ids)
     path = path or P.model_path()
-    encoded = encoded.drop(*[c for c in ["decoded"] if c in encoded.columns])
+    encoded = C.without(encoded, ["decoded"])
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

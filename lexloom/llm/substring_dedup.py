@@ -19,7 +19,9 @@ Cases: null and empty texts have no words, nothing is removed and the hash is
 that of the empty string; texts shorter than the window are kept whole; repeated
 rows are documents of their own, so their long texts count as repeats; null ids
 are documents too; windows never cross documents; overlapping repeats (a period)
-are repeats; an empty table gives an empty result; texts are never cut.
+are repeats; ties don't occur (all places of a repeat go); only id and text are
+read, so further columns can't clash; an empty table gives an empty result; texts
+are never cut.
 """
 
 from __future__ import annotations

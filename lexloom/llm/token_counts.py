@@ -75,7 +75,7 @@ def count(docs: DataFrame, path: str | None = None, text: str = "text", limit: i
     C.check_columns(docs, text)
     path = path or P.model_path()
     new = ["n_bytes", "n_tokens", "over_limit"]
-    docs = docs.drop(*[c for c in new if c in docs.columns])
+    docs = C.without(docs, new)
     at = docs.columns.index(text)
     table = table_of(path, frequent(docs, text, table_rows=table_rows)) if table_rows else table_of(path, [])
     shared = docs.sparkSession.sparkContext.broadcast(table)  # at most table_rows x 12 bytes

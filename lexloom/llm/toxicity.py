@@ -2,17 +2,24 @@
 
 Texts are folded first (case, homoglyphs, digit and symbol substitutions,
 zero-width characters), so ``1dіot`` meets ``idiot``.  Lexicon entries are whole
-words or word prefixes, each with a log-odds weight; *exception phrases* that
-start at the same place cancel a match.  A document's score is a logistic
+words or word prefixes, each with a log-odds weight; *exception phrases* (a word,
+or a word and the next one) that start at the same place cancel a match.  A document's score is a logistic
 function of its matched weight, normalised by its length.
 
 Lexicon, exceptions and the logistic curve are learnt from labelled rows; the
-classifier's sample is bounded by ``max_rows`` (documented parameter).  Scoring
-reads every whole text once, map-side, without any shuffle.
+classifier's sample is bounded by ``max_rows`` (documented parameter), and so is the
+lexicon by ``max_lexicon``.  A pattern must stand in ``MIN_SHARE`` of the toxic rows
+and in ``MIN_ROWS`` of them (in half of them, if there are fewer than twice as
+many): what stands in less can't be told from chance.  Exceptions are looked for in
+all rows under each entry of the lexicon: words, and words with the next one, that
+stand in clean rows at least as often.  Scoring reads every whole text once,
+map-side, without any shuffle.
 
 Cases: null and empty texts score the curve's value at zero matches; label rows
-that are null or without a document are ignored; with no usable labels the
-built-in ``SEED_LEXICON`` and a fixed curve serve.  A document labelled twice
+that are null or without a document are ignored; with no labels of either kind the
+built-in ``SEED_LEXICON`` and a fixed curve serve (few labels give a small lexicon,
+or none, and a curve fitted on them); of patterns that tie for the last place of a
+full lexicon the first by code point stays.  A document labelled twice
 with different labels counts for both; repeated rows count as they stand.
 Further columns pass through, except those named like an output column, which
 are replaced.
@@ -37,6 +44,9 @@ from lexloom.llm import common as C
 SEED_LEXICON = {" idiot ": 4.0, " moron ": 4.0, " scum ": 4.0, " stupid ": 3.0, " pathetic ": 3.0, " worthless ": 3.0}
 #: Bound of the rows that the classifier is fitted on, and of its lexicon.
 MAX_ROWS, MAX_LEXICON = 20_000, 4096
+#: Support and log-odds of an entry, and log-odds of exceptions (words; words with the next one).
+MIN_ROWS, MIN_SHARE, MIN_ODDS, MAX_WORD_ODDS, MAX_PHRASE_ODDS = 4, 0.004, 2.5, 0.5, -1.0
+NEW = ["tox_weight", "n_hits", "score", "predicted"]
 PREFIXES = range(4, 11)
 
 
@@ -85,7 +95,9 @@ class Model:
     exceptions: list[str] = field(default_factory=list)
     curve: tuple[float, float, float] = (-4.0, 2.2, 0.4)
 
-    def automaton(self) -> ahocorasick.Automaton:
+    def automaton(self) -> ahocorasick.Automaton | None:
+        if not self.lexicon:
+            return None
         auto = ahocorasick.Automaton()
         for p, w in self.lexicon.items():
             auto.add_word(p, (len(p), float(w), False))
@@ -95,8 +107,10 @@ class Model:
         return auto
 
 
-def match(auto: ahocorasick.Automaton, folded: str) -> tuple[float, int]:
+def match(auto: ahocorasick.Automaton | None, folded: str) -> tuple[float, int]:
     """Summed weight and number of matched places (the heaviest entry a place)."""
+    if auto is None:
+        return 0.0, 0
     best: dict[int, float] = {}
     spared: set[int] = set()
     for end, (n, w, spare) in auto.iter(folded):
@@ -141,6 +155,35 @@ def _patterns(folded: str) -> set[str]:
     return out
 
 
+def _exceptions(rows: DataFrame, lexicon: dict[str, float], log_odds) -> list[str]:
+    """Words under the lexicon's entries, and words with the next one, that clean rows hold."""
+    if not lexicon:
+        return []
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = Model(lexicon).automaton()
+        count: Counter[tuple[str, int]] = Counter()
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folded = " ".join(["", *fold(t).split(), ""])
+                found = set()
+                for end, (n, _, _) in auto.iter(folded):
+                    at = end - n + 1
+                    stop = folded.index(" ", at + 1)
+                    found.add(folded[at : stop + 1])
+                    if stop + 1 < len(folded):
+                        found.add(folded[at : folded.index(" ", stop + 1) + 1])
+                count.update((p, y) for p in found)
+        at = list(count)
+        yield pa.record_batch({"p": pa.array([p for p, _ in at], pa.string()), "bad": pa.array([count[k] * (k[1] == 1) for k in at], pa.int64()), "good": pa.array([count[k] * (k[1] == 0) for k in at], pa.int64())})
+
+    found = rows.select("_t", "_y").mapInArrow(look, "p string, bad long, good long").groupBy("p").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("good > 0").collect()  # words of max_rows texts
+    words = {r["p"] for r in found if r["p"].count(" ") == 2 and log_odds(r["bad"], r["good"]) < MAX_WORD_ODDS}
+    # a phrase says more than its word only if it is clearly clean
+    phrases = {r["p"] for r in found if r["p"].count(" ") == 3 and r["good"] >= 3 and log_odds(r["bad"], r["good"]) < MAX_PHRASE_ODDS}
+    return sorted(words - set(lexicon)) + sorted(p for p in phrases if p[: p.index(" ", 1) + 1] not in words)
+
+
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
           max_rows: int = MAX_ROWS, max_lexicon: int = MAX_LEXICON) -> Model:
     """Fit lexicon, exceptions and curve on at most ``max_rows`` labelled rows.
@@ -169,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return Model(dict(SEED_LEXICON))
-    least = max(4, math.ceil(0.004 * toxic))
+    least = max(min(MIN_ROWS, math.ceil(toxic / 2)), math.ceil(MIN_SHARE * toxic))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
@@ -178,19 +221,16 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 count.update(_patterns(fold(t)))
         yield pa.record_batch({"p": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
 
-    proposed = (
-        rows.where("_y = 1").select("_t").mapInArrow(propose, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).orderBy(F.desc("n"), "p").limit(40 * max_lexicon).collect()
-    )
+    proposed = rows.where("_y = 1").select("_t").mapInArrow(propose, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()  # patterns of max_rows texts
     hits = {r["p"]: r["n"] for r in proposed}
-    if not hits:
-        return Model(dict(SEED_LEXICON))
     names = list(hits)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = ahocorasick.Automaton()
         for k, p in enumerate(names):
             auto.add_word(p, k)
+        if not names:
+            return
         auto.make_automaton()
         count = np.zeros(len(names), np.int64)
         for b in batches:
@@ -201,19 +241,17 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         yield pa.record_batch({"k": pa.array(at, pa.int64()), "n": pa.array(count[at], pa.int64())})
 
     seen = {r["k"]: r["n"] for r in rows.where("_y = 0").select("_t").mapInArrow(weigh, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    odds = {p: math.log((hits[p] + 0.5) / (toxic + 1)) - math.log((seen.get(k, 0) + 0.5) / (clean + 1)) for k, p in enumerate(names)}
+    def log_odds(bad: int, good: int) -> float:
+        return math.log((bad + 0.5) / (toxic + 1)) - math.log((good + 0.5) / (clean + 1))
+
+    odds = {p: log_odds(hits[p], seen.get(k, 0)) for k, p in enumerate(names)}
     lexicon: dict[str, float] = {}
-    exceptions: list[str] = []
     for p in sorted(names, key=lambda p: (len(p.rstrip()), p)):
-        shorter = next((p[:k] for k in range(5, len(p.rstrip()) + 1) if p[:k] in lexicon and p[:k] != p), None)
-        if shorter is not None:
-            # words under a heavy prefix that are not themselves suspicious are spared
-            if p.endswith(" ") and odds[p] < 0.5:
-                exceptions.append(p)
-        elif odds[p] >= 2.5:
+        shorter = any(p[:k] in lexicon for k in range(5, len(p.rstrip()) + 1) if p[:k] != p)
+        if not shorter and odds[p] >= MIN_ODDS:
             lexicon[p] = odds[p]
     lexicon = dict(sorted(lexicon.items(), key=lambda kv: (-kv[1] * math.log1p(hits[kv[0]]), kv[0]))[:max_lexicon])
-    model = Model(lexicon, exceptions)
+    model = Model(lexicon, _exceptions(rows, lexicon, log_odds))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = model.automaton()
@@ -230,8 +268,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Documents with ``tox_weight, n_hits, score, predicted``; one map over the texts."""
     C.check_columns(docs, text)
-    new = ["tox_weight", "n_hits", "score", "predicted"]
-    kept = docs.drop(*[c for c in new if c in docs.columns])
+    new = NEW
+    kept = C.without(docs, new)
     at = kept.columns.index(text)
     out = C.schema(", ".join(["tox_weight double", "n_hits long", "score double", "predicted int"]))
     full = T.StructType([*kept.schema.fields, *out.fields])

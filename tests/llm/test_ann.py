@@ -93,3 +93,25 @@ def test_an_id_with_many_vectors_finds_others(spark):
     data = [(0, (np.ones(4) + 0.001 * rng.normal(size=4)).tolist(), "s") for _ in range(30)] + [(1 + i, rng.normal(size=4).tolist(), "s") for i in range(20)]
     got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>, score string"), F.col("vec_id") == 0, factor=1.0).collect()
     assert len(got) == 5 and all(g["vec_id"] != 0 for g in got)
+
+
+def test_blocks_and_lengths(spark):
+    """Queries in blocks, shards in parts; vectors of two lengths are searched apart."""
+    rng = np.random.default_rng(3)
+    data = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(500, 6)))] + [(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 3)))]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(frame, F.col("vec_id") % 5 == 0, factor=1.0, sample_rows=64, shard_rows=16, query_block=7).collect()}
+    for lo, hi in ((0, 500), (500, 560)):
+        ids, m = np.array([i for i, _ in data[lo:hi]]), np.array([v for _, v in data[lo:hi]])
+        for q in np.flatnonzero(ids % 5 == 0):
+            s = ann.cosine(np.broadcast_to(m[q], m.shape), m)
+            best = [int(ids[j]) for j in np.lexsort((ids, -s)) if j != q][:5]
+            assert [got[int(ids[q]), r] for r in range(1, 6)] == best
+
+
+def test_many_parallel_vectors_tie_by_id(spark):
+    rows = [(i, [x * 2.0 ** (i - 100) for x in (1.0, 2.0, 3.0)]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for factor in (1.0, 1.15):
+        got = ann.search(frame, F.col("vec_id") == 0, factor=factor).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and all(abs(r["score"] - 1) < 1e-12 for r in got)

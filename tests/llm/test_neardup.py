@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lexloom.llm import components as K, neardup as N
-from tests.llm.helpers import NASTY, components, corpus, shingles
+from tests.llm.helpers import NASTY, components, corpus, prose, shingles
 
 
 def check(spark, rows, **how):
@@ -83,3 +83,18 @@ def test_components(spark, local):
     got = {x["doc_id"]: x["component"] for x in K.connected(spark.createDataFrame(edges, "a long, b long"), local).collect()}
     assert got == {x: find(x) for x in root}
     assert K.connected(spark.createDataFrame([], "a long, b long"), local).count() == 0
+
+
+def test_large_groups_in_blocks_equal_brute_force(spark):
+    """A group far over group_bytes: main trees are bridged, the rest visits all blocks."""
+    r = random.Random(7)
+    base = prose(200, 1)
+    rows = []
+    for i in range(120):  # near copies of one text, and some of them further off
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 12, 25])):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(7, " ".join(prose(200, 2))), (500, " ".join(prose(200, 2)))]  # an id with two texts
+    got = {x["doc_id"]: x["component_id"] for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=20_000, hot_bucket=30).collect()}
+    assert got == components(rows)

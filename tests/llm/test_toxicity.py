@@ -66,3 +66,37 @@ def test_held_out_accuracy(spark):
     assert len(both) > 500
     toxic, clean = both[both.toxic == 1], both[both.toxic == 0]
     assert toxic.predicted.mean() >= 0.85 and clean.predicted.mean() <= 0.02
+
+
+def learnt(spark, toxic, clean):
+    rows = [(i, t, 1) for i, t in enumerate(toxic)] + [(1000 + i, t, 0) for i, t in enumerate(clean)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return X.learn(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+
+
+def test_clean_words_under_a_heavy_prefix_are_spared(spark):
+    fill = [" ".join(prose(30, i)) for i in range(80)]
+    toxic = [f"{fill[i]} {w}" for i, w in enumerate(["scumbag", "scummy"] * 10)]
+    clean = [f"{fill[20 + i]} scumble" if i < 3 else fill[20 + i] for i in range(60)]
+    model = learnt(spark, toxic, clean)
+    assert any(p.startswith(" scum") and not p.endswith(" ") for p in model.lexicon) and " scumble " in model.exceptions
+    match = lambda t: X.match(model.automaton(), X.fold(t))[1]
+    assert match("a scumble here") == 0 and match("a scumbag here") == 1
+
+
+def test_phrases_that_clean_texts_hold_are_spared(spark):
+    fill = [" ".join(prose(30, i)) for i in range(160)]
+    toxic = [fill[i] + " zounds you" for i in range(40)]
+    clean = [fill[40 + i] + (" zounds river flows" if i < 6 else "") for i in range(120)]
+    model = learnt(spark, toxic, clean)
+    assert " zounds " in model.lexicon or any(p.startswith(" zou") for p in model.lexicon)
+    assert " zounds river " in model.exceptions
+    assert X.match(model.automaton(), X.fold("zounds river")) == (0.0, 0) and X.match(model.automaton(), X.fold("zounds you"))[1] >= 1
+
+
+def test_few_labels_teach_a_few_words(spark):
+    clean = [" ".join(prose(30, i)) for i in range(40)]
+    model = learnt(spark, ["grumphole one", "two grumphole", "my grumphole"], clean)
+    assert model.lexicon and all(p.startswith(" grum") for p in model.lexicon)
+    nothing = learnt(spark, ["", None], clean)
+    assert nothing.lexicon == {} and X.match(nothing.automaton(), " any ") == (0.0, 0)
