@@ -1,8 +1,8 @@
 """Training-data pipeline: toxicity, line dedup, near-dedup, mixing, encoding.
 
 Each stage takes ``(spark, docs, sf_dir)`` with the columns of ``documents`` and
-returns them again (the last one returns the encoded corpus).  Columns beyond
-those pass through every stage.  A stage's cases are those of its operator.
+returns them again (the last one returns the encoded corpus, without the text).
+Columns beyond those pass through every stage.  A stage's cases are those of its operator.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject (empty ones stay)."""
-    scored = toxicity.score(docs, toxicity.learn(docs, _labels(spark, sf_dir)))
-    return scored.where("predicted = 0").select(*docs.columns)
+    own, back = common.aside(docs, toxicity.NEW)
+    return toxicity.score(own, toxicity.learn(own, _labels(spark, sf_dir))).where("predicted = 0").select(*back)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that stand earlier; ``n_chars`` follows."""
-    cut = line_dedup.dedup(docs, whole_runs=True)
+    own, back = common.aside(docs, line_dedup.NEW)
+    cut = line_dedup.dedup(own, whole_runs=True)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return cut.select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +40,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    own, back = common.aside(docs, [*mixing.NEW, "copy"])
+    return mixing.emit(mixing.mix(own)).select(*back)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, proven by decoding them."""
-    return sentencepiece_lattice.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", "ids", "n_pieces", "round_trip")
+    """Piece ids of every document, proven by decoding them; they stand for its text.
+
+    Columns named ``ids``, ``n_pieces`` or ``round_trip`` are replaced.
+    """
+    return sentencepiece_lattice.encode(docs).drop("text")
 
 
 STAGES = [
