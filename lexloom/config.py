@@ -26,6 +26,9 @@ class EngineConfig:
     drop_if_exists: bool = False
     lazy_load: bool = True
     cache_size: int = 10_000
+    #: whether writes are logged before they are buffered, and the buffered bytes that start a flush
+    wal: bool = True
+    flush_bytes: int = 32 << 20
 
     @classmethod
     def memory_only(cls) -> EngineConfig:

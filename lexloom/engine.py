@@ -1,9 +1,12 @@
 """Facade: one object for ingest, search, ranking, mutation and maintenance.
 
-Documents added one by one are analyzed on the driver and buffered; bulk sources
-stay DataFrames.  Every write gets a sequence number, and of all writes to a
-document the latest counts.  ``flush`` commits the buffer to the store; what was
-not flushed lives with the engine object only.
+Single documents are analyzed on the driver and buffered; lists of many become
+DataFrames, and bulk sources stay DataFrames.  Every write gets a sequence number,
+and of all writes to a document the latest counts.  ``flush`` commits the buffer to
+the store, by itself once ``flush_bytes`` are buffered.  Until then single documents
+and lists stand in the store's log, from which the next engine on that path takes
+them up again; frames (``add_frame``) are read from their source at the flush and are
+not logged.  A path has one writing engine at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +33,10 @@ from lexloom.operators.result import ResultHandle
 from lexloom.sources import importers, store as ST
 
 
+#: Lists of so many documents are analyzed by Spark instead of on the driver.
+BULK_ROWS = 1_000
+
+
 class SearchEngine:
     """Full-text engine on Spark; see the module's text for its write semantics."""
 
@@ -36,8 +45,11 @@ class SearchEngine:
         self.store = ST.Store(spark, self.config.path, self.config.drop_if_exists) if self.config.path else None
         self._lock = threading.RLock()
         self._seq = self.store.manifest.last_seq if self.store else 0
+        self._flushing = threading.RLock()  # one flush or compaction at a time; searches don't wait for it
         self._rows: list[tuple] = []  # single operations
         self._frames: list[DataFrame] = []  # bulk operations
+        self._logged: list[str] = []  # their batches in the log
+        self._bytes = 0
         self._deleted: set[int] = set()
         self._results: OrderedDict[tuple, ResultHandle] = OrderedDict()
         self._cache_on, self._preloaded = True, False
@@ -46,6 +58,13 @@ class SearchEngine:
         self._pool: ThreadPoolExecutor | None = None
         self._pending: Future | None = None
         self._counts = {"search_count": 0, "fuzzy_search_count": 0, "cache_hits": 0, "cache_misses": 0}
+        for name, batch in self.store.pending() if self.store else []:
+            self._logged.append(name)
+            if isinstance(batch, DataFrame):
+                self._frames.append(self._analyzed(batch, self._next()))
+            else:
+                self._seq = max(self._seq, *(r[0] for r in batch))
+                self._hold(batch)
 
     # ---- writes
 
@@ -65,53 +84,113 @@ class SearchEngine:
                 self._seq = max(self._seq, self.store.manifest.last_seq)
             self._changed()
 
-    def _put(self, doc_id: int, values: list[str | None]) -> None:
-        doc_id = int(doc_id)
-        if not 0 <= doc_id <= MAX_ID:
+    def _hold(self, rows: list[tuple]) -> None:
+        for seq, op, doc_id, *_ in rows:
+            (self._deleted.add if op == ST.DELETE else self._deleted.discard)(doc_id)
+        self._rows.extend(rows)
+        self._bytes += sum(sum(map(len, r[3])) for r in rows)
+
+    def _write(self, ops: list[tuple[str, int, list[str | None]]]) -> None:
+        """Log and buffer single operations ``(op, id, values)``."""
+        for _, doc_id, _ in ops:
+            if not 0 <= int(doc_id) <= MAX_ID:
+                raise ValueError("document ids must be from 0 to 2^63 - 1")
+        c = self.config
+        read = [(op, int(d), *(A.py_analyze(v, c.min_term_length, c.max_cjk_length) if op == ST.UPSERT else ([], [], 0))) for op, d, v in ops]
+        with self._lock:
+            rows = [(self._next(), *r) for r in read]
+            if self.store and c.wal and rows:
+                self._logged.append(self.store.log(rows[0][0], rows))
+            self._hold(rows)
+            self._changed()
+        if self.store and self._bytes >= c.flush_bytes:
+            self.flush()
+
+    def _bulk(self, doc_ids: list[int], columns: list[list[str | None]]) -> None:
+        """Many documents at once: an Arrow table, analyzed by Spark."""
+        last = {int(d): i for i, d in enumerate(doc_ids)}  # of documents given twice the last counts
+        if last and not (0 <= min(last) and max(last) <= MAX_ID):
             raise ValueError("document ids must be from 0 to 2^63 - 1")
-        tokens, grams, size = A.py_analyze(values, self.config.min_term_length, self.config.max_cjk_length)
+        at = sorted(last.values())
+        text = lambda v: None if v is None else str(v)
+        table = pa.table({"doc_id": pa.array([int(doc_ids[i]) for i in at], pa.int64()), **{f"text_{k}": pa.array([text(c[i]) for i in at], pa.string()) for k, c in enumerate(columns)}})
         with self._lock:
-            self._rows.append((self._next(), ST.UPSERT, doc_id, tokens, grams, size))
-            self._deleted.discard(doc_id)
+            seq, frame = self._next(), self.spark.createDataFrame(table)
+            if self.store and self.config.wal:
+                name, frame = self.store.log_frame(seq, frame)
+                self._logged.append(name)
+            self._frames.append(self._analyzed(frame, seq))
+            self._deleted -= set(last)
+            self._bytes += table.nbytes
             self._changed()
+        if self.store and self._bytes >= self.config.flush_bytes:
+            self.flush()
+
+    def _analyzed(self, ready: DataFrame, seq: int) -> DataFrame:
+        """Operations of a table of ``doc_id`` and texts."""
+        analyzed = A.analyze(ready, [c for c in ready.columns if c != "doc_id"], "doc_id", self.config.min_term_length, self.config.max_cjk_length)
+        return analyzed.select(F.lit(seq).cast("long").alias("seq"), F.lit(ST.UPSERT).alias("op"), "doc_id", "tokens", "grams", "dl")
 
     def add_document(self, doc_id: int, fields: Mapping[str, str]) -> None:
         """Fields join by a space, in insertion order."""
-        self._put(doc_id, [" ".join("" if v is None else str(v) for v in fields.values())])
+        self._write([(ST.UPSERT, doc_id, [" ".join("" if v is None else str(v) for v in fields.values())])])
 
     update_document = add_document
 
     def add_documents(self, docs: Iterable[tuple[int, Mapping[str, str]]]) -> int:
         """Fields keep apart: phrases don't cross them."""
-        n = 0
-        for n, (doc_id, fields) in enumerate(docs, 1):  # noqa: B007
-            self._put(doc_id, [None if v is None else str(v) for v in fields.values()])
-        return n
+        docs = [(d, list(fields.values())) for d, fields in docs]
+        if len(docs) < BULK_ROWS:
+            self._write([(ST.UPSERT, d, [None if v is None else str(v) for v in values]) for d, values in docs])
+        else:
+            width = max(len(v) for _, v in docs)
+            self._bulk([d for d, _ in docs], [[v[k] if k < len(v) else None for _, v in docs] for k in range(width)])
+        return len(docs)
 
     def add_documents_columnar(self, doc_ids: list[int], columns: list[tuple[str, list[str]]]) -> int:
         if any(len(c) != len(doc_ids) for _, c in columns):
             raise ValueError("all columns must be as long as doc_ids")
-        for i, d in enumerate(doc_ids):
-            self._put(d, [c[i] for _, c in columns])
+        if len(doc_ids) < BULK_ROWS or not columns:
+            self._write([(ST.UPSERT, d, [None if c[i] is None else str(c[i]) for _, c in columns]) for i, d in enumerate(doc_ids)])
+        else:
+            self._bulk(doc_ids, [c for _, c in columns])
         return len(doc_ids)
 
-    add_documents_arrow_str = add_documents_columnar
-
     def add_documents_texts(self, doc_ids: list[int], texts: list[str]) -> int:
         return self.add_documents_columnar(doc_ids, [("text", texts)])
 
-    add_documents_arrow_texts = add_documents_texts
+    def add_documents_arrow_str(self, doc_ids, columns) -> int:
+        """The same for Arrow arrays, of any length without a loop over rows."""
+        columns = [(n, c) for n, c in columns]
+        if any(len(c) != len(doc_ids) for _, c in columns):
+            raise ValueError("all columns must be as long as doc_ids")
+        table = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), **{f"text_{k}": pa.array(c, pa.string()) for k, (_, c) in enumerate(columns)}})
+        if not len(table):
+            return 0
+        if pc.min(table["doc_id"]).as_py() < 0:
+            raise ValueError("document ids must be from 0 to 2^63 - 1")
+        with self._lock:
+            seq, frame = self._next(), self.spark.createDataFrame(table)
+            if self.store and self.config.wal:
+                name, frame = self.store.log_frame(seq, frame)
+                self._logged.append(name)
+            self._frames.append(self._analyzed(frame, seq))
+            self._bytes += table.nbytes
+            self._changed()
+        if self.store and self._bytes >= self.config.flush_bytes:
+            self.flush()
+        return len(table)
+
+    def add_documents_arrow_texts(self, doc_ids, texts) -> int:
+        return self.add_documents_arrow_str(doc_ids, [("text", texts)])
 
     def add_frame(self, docs: DataFrame, text_columns: list[str] | None = None, id_column: str = "doc_id") -> None:
         """Bulk ingest of a DataFrame; of rows of one id the last by content hash counts."""
         ready, names = importers.prepare(docs, id_column, text_columns)
         if not names:
             ready, names = ready.withColumn("text_0", F.lit("")), ["text_0"]
-        analyzed = A.analyze(ready, names, "doc_id", self.config.min_term_length, self.config.max_cjk_length)
         with self._lock:
-            seq = self._next()
-            ops = analyzed.select(F.lit(seq).cast("long").alias("seq"), F.lit(ST.UPSERT).alias("op"), "doc_id", "tokens", "grams", "dl")
-            self._frames.append(ops)
+            self._frames.append(self._analyzed(ready, self._next()))
             self._changed()
 
     def _import(self, frame: DataFrame, id_column: str, text_columns: list[str] | None) -> int:
@@ -143,26 +222,42 @@ class SearchEngine:
         return self._import(importers.from_rows(self.spark, rows), id_column, text_columns) if rows else 0
 
     def remove_document(self, doc_id: int) -> None:
-        with self._lock:
-            self._rows.append((self._next(), ST.DELETE, int(doc_id), [], [], 0))
-            self._deleted.add(int(doc_id))
-            self._changed()
+        self._write([(ST.DELETE, doc_id, [])])
 
     def remove_documents(self, doc_ids: Iterable[int]) -> None:
-        for d in doc_ids:
-            self.remove_document(d)
+        self._write([(ST.DELETE, d, []) for d in doc_ids])
+
+    def remove_frame(self, doc_ids: DataFrame) -> None:
+        """Bulk delete: the first column holds ids."""
+        ids = doc_ids.select(F.col(doc_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+        with self._lock:
+            none = F.array().cast("array<string>")
+            self._frames.append(ids.select(F.lit(self._next()).cast("long").alias("seq"), F.lit(ST.DELETE).alias("op"), "doc_id", none.alias("tokens"), none.alias("grams"), F.lit(0).alias("dl")))
+            self._changed()
 
     # ---- the resolved index
 
-    def _buffered(self) -> DataFrame | None:
-        """One operation a document: the buffer's latest."""
-        parts = [*self._frames, *([self.spark.createDataFrame(self._rows, ST.OPS)] if self._rows else [])]
+    def _buffered(self, rows: list[tuple] | None = None, frames: list[DataFrame] | None = None) -> DataFrame | None:
+        """One operation a document: the buffer's latest.
+
+        Only ids are aggregated to see which documents were written twice; token
+        arrays of all others never move.
+        """
+        rows, frames = self._rows if rows is None else rows, self._frames if frames is None else frames
+        last = {r[2]: r for r in rows}
+        parts = [*frames, *([self.spark.createDataFrame(list(last.values()), ST.OPS)] if rows else [])]
         if not parts:
             return None
         every = reduce(DataFrame.unionByName, parts)
-        body = F.struct("seq", F.xxhash64("tokens").alias("h"), "op", "tokens", "grams", "dl")
+        if not frames:
+            return every
+        twice = every.groupBy("doc_id").count().where("count > 1").select("doc_id")
+        if twice.isEmpty():
+            return every
+        body = F.struct("seq", "op", "tokens", "grams", "dl")
         # ties inside one bulk frame: the greatest hash
-        return every.groupBy("doc_id").agg(F.max_by(body, F.struct("seq", F.xxhash64("tokens"))).alias("b")).select("b.seq", "b.op", "doc_id", "b.tokens", "b.grams", "b.dl")
+        resolved = every.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(body, F.struct("seq", F.xxhash64("tokens"))).alias("b")).select("b.seq", "b.op", "doc_id", "b.tokens", "b.grams", "b.dl")
+        return every.join(twice, "doc_id", "left_anti").select(resolved.columns).unionByName(resolved)
 
     def index(self) -> I.Index:
         """Live documents and, where all is stored, their stored postings."""
@@ -170,22 +265,18 @@ class SearchEngine:
             if self._index is None:
                 buffered = self._buffered()
                 c = self.config
+                new = None if buffered is None else buffered.where(F.col("op") == ST.UPSERT).drop("op")
                 if self.store and self.store.manifest.segments:
-                    ops, posted = self.store.ops(), self.store.postings()
+                    docs, posted, terms = self.store.live_documents(), self.store.live_postings(), self.store.terms()
                     if buffered is not None:
-                        ops = ops.unionByName(buffered)
-                        posted = posted.unionByName(I.postings(buffered.where(F.col("op") == ST.UPSERT).drop("op")).select("term", "doc_id", "seq", "tf", "dl"))
-                    if buffered is None and self.store.manifest.clean:
-                        docs = ops.drop("op")
-                    else:
-                        latest = ST.resolve(ops.select("doc_id", "seq", "op")).where(F.col("op") == ST.UPSERT).select("doc_id", "seq")
-                        docs = ST.live_documents(ops)
-                        posted = posted.join(latest, ["doc_id", "seq"], "left_semi")
-                    self._index = I.Index(docs.drop("seq"), posted.drop("seq"), c.min_term_length, c.max_cjk_length)
+                        ids = buffered.select("doc_id")  # one row a document: they hide what is stored of it
+                        docs = docs.join(ids, "doc_id", "left_anti").unionByName(new)
+                        posted = posted.join(ids, "doc_id", "left_anti").unionByName(I.postings(new).select("term", "doc_id", "seq", "tf", "dl"))
+                        terms = None
+                    self._index = I.Index(docs.drop("seq"), posted.drop("seq"), c.min_term_length, c.max_cjk_length, stored_terms=terms)
                 else:
-                    ops = buffered if buffered is not None else self.spark.createDataFrame([], ST.OPS)
-                    docs = ops.where(F.col("op") == ST.UPSERT).drop("op", "seq")
-                    self._index = I.Index(docs, None, c.min_term_length, c.max_cjk_length)
+                    docs = self.spark.createDataFrame([], ST.OPS).drop("op") if new is None else new
+                    self._index = I.Index(docs.drop("seq"), None, c.min_term_length, c.max_cjk_length)
             return self._index
 
     # ---- searches
@@ -230,14 +321,20 @@ class SearchEngine:
         self._counts["fuzzy_search_count"] += 1
         return self._run(f"fuzzy {min_results}", query, lambda: fuzzy.fuzzy_search(self.index(), query, min_results, self.config.fuzzy))
 
+    def _need_tokens(self) -> None:
+        if not self.config.track_doc_terms:
+            raise RuntimeError("ranking needs track_doc_terms=True")
+
     def search_ranked(self, query: str, limit: int = 100) -> list[tuple[int, float]]:
         """(id, score) pairs, best first."""
+        self._need_tokens()
         if limit <= 0:
             return []
         return [(r["doc_id"], r["score"]) for r in rank.search_ranked(self.index(), query, limit).orderBy("rank").collect()]
 
     def search_scored(self, query: str) -> DataFrame:
         """All matches with their scores, as a DataFrame."""
+        self._need_tokens()
         return rank.search_scored(self.index(), query)
 
     def search_top_n(self, query: str, n: int = 10) -> list[int]:
@@ -252,19 +349,29 @@ class SearchEngine:
     # ---- persistence
 
     def flush(self) -> int:
-        """Commit the buffer; the number of distinct terms in it (0 in memory)."""
-        with self._lock:
-            if self.store is None:
-                self._deleted.clear()
-                return 0
-            buffered = self._buffered()
+        """Commit the buffer; the number of distinct terms in it (0 in memory).
+
+        Searches and writes go on meanwhile: the buffer stays until its segment is listed.
+        """
+        with self._flushing:
+            with self._lock:
+                if self.store is None:
+                    self._deleted.clear()
+                    return 0
+                rows, frames, logged, seq, size = list(self._rows), list(self._frames), list(self._logged), self._seq, self._bytes
+            buffered = self._buffered(rows, frames)
             if buffered is None:
                 return 0
-            name = self.store.append(buffered, self._seq)
-            self._rows, self._frames = [], []
-            self._deleted.clear()
-            self._changed()
-        return self.spark.read.parquet(f"{self.store.path}/segments/{name}/postings").select("term").distinct().count()
+            name = self.store.append(buffered, seq, logged)
+            with self._lock:
+                del self._rows[: len(rows)], self._frames[: len(frames)], self._logged[: len(logged)]
+                self._seq, self._bytes = max(self._seq, self.store.manifest.last_seq), self._bytes - size
+                self._deleted.clear()
+                waiting, self._rows = self._rows, []
+                self._bytes -= sum(sum(map(len, r[3])) for r in waiting)
+                self._hold(waiting)
+                self._changed()
+            return self.store.term_rows(name)
 
     def flush_async(self) -> None:
         """Flush in a thread; searches see the buffered documents throughout."""
@@ -296,10 +403,11 @@ class SearchEngine:
         """Rewrite live documents as one segment (nothing to do in memory)."""
         if self.store is None:
             return
-        with self._lock:
+        with self._flushing:
             self.flush()
             self.store.compact()
-            self._changed()
+            with self._lock:
+                self._changed()
 
     def close(self) -> None:
         self.wait_flush()
@@ -354,7 +462,7 @@ class SearchEngine:
         return hits / (hits + misses) if hits + misses else 0.0
 
     def all_terms(self) -> DataFrame:
-        return self.index().postings().select("term").distinct()
+        return self.index().terms()
 
     def term_count(self) -> int:
         """Distinct live terms."""
@@ -391,21 +499,21 @@ class SearchEngine:
         return False
 
     def wal_size(self) -> int:
-        """Bytes of all manifests: the store's commit log."""
-        return self.store.files.size("manifests") if self.store else 0
+        """Bytes of the log of writes that wait for a commit."""
+        return self.store.files.size("wal") if self.store else 0
 
     def wal_pending_batches(self) -> int:
-        return len(self._frames) + bool(self._rows)
+        return len(self._logged)
 
     def is_wal_enabled(self) -> bool:
-        return self.store is not None
+        return self.store is not None and self.config.wal
 
     def stats(self) -> dict[str, float]:
         n, total = self.index().corpus()
         hits, misses, entries = self.cache_stats()
         out = {
             **{k: float(v) for k, v in self._counts.items()}, "cache_entries": float(entries), "cache_hit_rate": self.cache_hit_rate(),
-            "buffer_batches": float(self.wal_pending_batches()), "deleted_count": float(self.deleted_count()), "doc_count": float(n), "total_tokens": float(total),
+            "buffer_batches": float(len(self._frames) + bool(self._rows)), "deleted_count": float(self.deleted_count()), "doc_count": float(n), "total_tokens": float(total),
             "term_count": float(self.term_count()), "memory_only": float(self.is_memory_only()), "track_doc_terms": float(self.config.track_doc_terms),
         }
         if self.store:
@@ -414,7 +522,7 @@ class SearchEngine:
 
     def __repr__(self) -> str:
         if self.store is None:
-            return f"SearchEngine(memory_only=True, buffered={self.wal_pending_batches()})"
+            return f"SearchEngine(memory_only=True, buffered={len(self._frames) + bool(self._rows)})"
         return f"SearchEngine(path={self.store.path!r}, segments={self.segment_count()}, lazy={self.is_lazy_load()})"
 
 

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 MIN_TERM, MAX_CJK = 2, 4
 BOUNDARY = "\x1e"
 CJK = "㐀-䶿一-鿿豈-﫿぀-ゟ゠-ヿㇰ-ㇿ가-힯"
-_NON_ASCII = r"[^\x00-\x7F]"
 _LETTER = rf"[a-z\p{{L}}&&[^{CJK}]]"
 _IN_WORD = rf"[a-z0-9_[\p{{L}}\p{{N}}\p{{M}}&&[^{CJK}]]]"
 #: A CJK character, or word characters that hold a letter or digit, across marks
@@ -41,7 +40,8 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def is_ascii(text: Column) -> Column:
-    return ~text.rlike(_NON_ASCII)
+    """One byte a character."""
+    return F.octet_length(text) == F.char_length(text)
 
 
 def is_cjk(char: Column) -> Column:

@@ -46,7 +46,7 @@ def fuzzy_matches(index: Index, query: str, config: FuzzyConfig | None = None, l
     words = list(dict.fromkeys(query.split()))
     if not words:
         return S.nothing(index)
-    terms = index.postings().select("term").distinct()
+    terms = index.terms()
     kept = [(r["word"], r["term"]) for r in candidates(terms, words, c).collect()]  # words x max_candidates rows
     per = {w: [t for x, t in kept if x == w] for w in words}
     spark = index.doc_tokens.sparkSession

@@ -14,9 +14,10 @@ ids are rejected by the importers; rows of one id must have been resolved before
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +27,23 @@ from lexloom.functions import analyzer as A
 def postings(doc_tokens: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """Postings of all terms, or of some; grams of CJK runs have tf 0.
 
-    Partial aggregation folds a document's tokens before the shuffle.  With
-    ``terms`` only those tokens are exploded.
+    A document is one row, so its tokens are counted inside it: sorted, and cut
+    where they change.  Nothing is shuffled.
     """
     carry = [c for c in doc_tokens.columns if c not in ("tokens", "grams")]
-    token = F.filter("tokens", lambda t: t != A.BOUNDARY if terms is None else t.isin(terms))
-    gram = F.col("grams") if terms is None else F.filter("grams", lambda t: t.isin(terms))
     if terms is not None:
         # few kinds of terms: count in the row, no shuffle at all
         kinds = F.array_intersect(F.concat(F.col("tokens"), F.col("grams")), F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>"))
         rows = F.transform(kinds, lambda k: F.struct(k.alias("term"), F.size(F.filter("tokens", lambda t: t == k)).alias("tf")))
         return doc_tokens.select(*carry, F.inline(rows)).select("term", *carry, F.col("tf").cast("int").alias("tf"))
-    entries = F.concat(F.transform(token, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))), F.transform(gram, lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"))))
-    flat = doc_tokens.select(*carry, F.inline(entries))
-    return flat.groupBy("term", *carry).agg(F.sum("n").cast("int").alias("tf"))
+    s, at = F.col("_sorted"), F.col("_at")
+    rows = doc_tokens.select(*carry, F.sort_array("tokens").alias("_sorted"), "grams")
+    cuts = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(*carry, "_sorted", "grams", cuts.alias("_at"))
+    counted = F.transform(at, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).cast("int").alias("tf")))
+    counted = F.filter(counted, lambda x: x["term"] != A.BOUNDARY)
+    also = F.transform(F.array_except("grams", s), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf")))
+    return rows.select(*carry, F.inline(F.when(F.size("grams") > 0, F.concat(counted, also)).otherwise(counted))).select("term", *carry, "tf")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -62,6 +66,9 @@ class Index:
     max_cjk: int = A.MAX_CJK
     #: analyzes those texts that may hold all given terms (unstored indexes of raw texts)
     narrow: Callable[[list[str]], DataFrame] | None = None
+    #: the distinct live terms, where they are stored
+    stored_terms: DataFrame | None = None
+    _kept: list[DataFrame] = field(default_factory=list)
 
     @classmethod
     def build(cls, docs: DataFrame, columns: list[str], doc_id: str = "doc_id", min_term: int = A.MIN_TERM, max_cjk: int = A.MAX_CJK, nfkc: bool = True) -> Index:
@@ -86,16 +93,22 @@ class Index:
             return postings(self.doc_tokens, terms)
         return self.stored if terms is None else self.stored.where(F.col("term").isin(terms))
 
+    def terms(self) -> DataFrame:
+        """Distinct ``term`` of all live documents."""
+        return (self.postings() if self.stored_terms is None else self.stored_terms).select("term").distinct()
+
+    def keep(self, rows: DataFrame, most: int = 4) -> DataFrame:
+        """Persist narrow rows that a query reads twice; older ones are let go (and computed anew if asked for)."""
+        self._kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+        while len(self._kept) > most:
+            self._kept.pop(0).unpersist()
+        return rows
+
     def corpus(self) -> tuple[int, int]:
         r = corpus_stats(self.doc_tokens).first()
         return r["n_docs"], r["total_len"]
 
     def statistics(self, terms: list[str]) -> tuple[int, int, dict[str, int]]:
-        """Documents, tokens, and the document frequency of each term."""
-        if self.stored is not None:
-            found = self.postings(terms).groupBy("term").agg(F.count("*").alias("n")).collect()  # a row a term
-            return *self.corpus(), {t: 0 for t in terms} | {r["term"]: r["n"] for r in found}
-        held = F.concat("tokens", "grams")
-        rows = self.doc_tokens.select("dl", *[F.array_contains(held, t).cast("long").alias(f"d{i}") for i, t in enumerate(terms)])
-        r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), *[F.coalesce(F.sum(f"d{i}"), F.lit(0)).alias(f"d{i}") for i in range(len(terms))]).first()
-        return r["n"], r["total"], {t: r[f"d{i}"] for i, t in enumerate(terms)}
+        """Documents, tokens, and the document frequency of each term (of a stored index)."""
+        found = self.postings(terms).groupBy("term").agg(F.count("*").alias("n")).collect()  # a row a term
+        return *self.corpus(), {t: 0 for t in terms} | {r["term"]: r["n"] for r in found}

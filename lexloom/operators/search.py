@@ -90,7 +90,10 @@ def search_batch(index: Index, queries: list[str]) -> DataFrame:
     if phrases:
         plain = found.where(~F.col("query_id").isin(list(phrases)))
         rows = F.filter(F.array(*[F.when(has_phrase(p), F.lit(i)) for i, p in phrases.items()]), lambda i: i.isNotNull())
-        matched = index.doc_tokens.select(F.explode(rows).alias("query_id"), "doc_id")
+        docs = index.doc_tokens
+        if index.stored is not None:  # only documents that hold some phrase's terms are looked at
+            docs = docs.join(found.where(F.col("query_id").isin(list(phrases))).select("doc_id").distinct(), "doc_id", "left_semi")
+        matched = docs.select(F.explode(rows).alias("query_id"), "doc_id")
         found = plain.unionByName(matched)
     return found
 

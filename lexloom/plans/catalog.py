@@ -153,7 +153,7 @@ def _cand(*words: str) -> str:
 
 @query(f"WITH {_TOK}, {_cand('thonin', 'antion', 'ouedly')} SELECT word, term, distance, round(similarity, 6) AS similarity FROM cand")
 def fuzzy_candidates(spark, sf_dir):
-    terms = built(spark, sf_dir).postings().select("term").distinct()
+    terms = built(spark, sf_dir).terms()
     return fuzzy.candidates(terms, ["thonin", "antion", "ouedly"]).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -304,12 +304,20 @@ def levenshtein(spark, sf_dir):
     return _pairs(spark, sf_dir).select("n_nationkey", X.levenshtein_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query()
+_LCS = f"""RECURSIVE p AS (SELECT n_nationkey, n_name AS a, r_name AS b {_PAIRS}),
+r AS (SELECT n_nationkey, a, b, 1 AS d, [0 for j in range(0, len(b) + 1)] AS old, [0 for j in range(0, len(b) + 1)] AS now FROM p
+  UNION ALL SELECT n_nationkey, a, b, d + 1, now, [CASE WHEN j = 0 OR d + 1 - j < 1 THEN 0 WHEN substr(a, d + 1 - j, 1) = substr(b, j, 1) THEN old[j] + 1 ELSE greatest(now[j + 1], now[j]) END for j in range(0, len(b) + 1)]
+  FROM r WHERE d < len(a) + len(b)),
+l AS (SELECT n_nationkey, a, b, CAST(now[len(b) + 1] AS INTEGER) AS lcs FROM r WHERE d = len(a) + len(b))"""
+
+
+@query(f"WITH {_LCS} SELECT * FROM l")
 def lcs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("n_nationkey", "a", "b", X.longest_common_subsequence(F.col("a"), F.col("b")).alias("lcs"))
 
 
-@query()
+@query(f"""WITH {_LCS}, s AS (SELECT *, greatest(len(a), len(b))::DOUBLE AS longest, list_distinct(string_split(a, '')) AS x, list_distinct(string_split(b, '')) AS y FROM l)
+SELECT n_nationkey, a, b, round(greatest(1.0::DOUBLE - levenshtein(a, b) / longest, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, lcs / longest), 6) AS score FROM s""")
 def similarity(spark, sf_dir):
     return _pairs(spark, sf_dir).select("n_nationkey", "a", "b", F.round(X.similarity_score(F.col("a"), F.col("b")), 6).alias("score"))
 
@@ -340,27 +348,113 @@ def normalize_ws(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.normalize_ws(F.col("text")).alias("text"))
 
 
-_INLINE = [(1, "hello中文world"), (2, "全文搜索 ABC 数据"), (3, "plain"), (4, ""), (5, "한국어 テスト")]
-_INLINE_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _INLINE) + ") t(id, s)"
+_HAN = "concat('全文', text, ' 搜索', coalesce(source, ''), '引擎', lang)"
 
 
-@query(rf"""SELECT id, CAST(len(regexp_replace(s, '[^一-鿿]', '', 'g')) AS INTEGER) AS n, array_to_string(regexp_extract_all(s, '[一-鿿]+'), '|') AS segments FROM {_INLINE_SQL}""")
+@query(rf"""SELECT doc_id, CAST(len(regexp_replace(s, '[^一-鿿]', '', 'g')) AS INTEGER) AS n, array_to_string(regexp_extract_all(s, '[一-鿿]+'), '|') AS segments,
+  regexp_matches(left(s, 1), '^[一-鿿]$') AS first, regexp_matches(right(s, 1), '^[一-鿿]$') AS last FROM (SELECT doc_id, {_HAN} AS s FROM documents)""")
 def chinese_segments(spark, sf_dir):
     s = F.col("s")
-    return spark.createDataFrame(_INLINE, "id int, s string").select("id", X.count_chinese_chars(s).alias("n"), F.array_join(X.extract_chinese_segments(s), "|").alias("segments"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_HAN).alias("s"))
+    return docs.select("doc_id", X.count_chinese_chars(s).alias("n"), F.array_join(X.extract_chinese_segments(s), "|").alias("segments"),
+                       X.is_chinese_char(F.left(s, F.lit(1))).alias("first"), X.is_chinese_char(F.right(s, F.lit(1))).alias("last"))
 
 
-@query(rf"""WITH r AS (SELECT id, unnest(regexp_extract_all(lower(s), '[{A.CJK}]+')) AS run FROM {_INLINE_SQL}),
-g AS (SELECT DISTINCT id, substr(run, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS gram FROM r, (SELECT unnest([1, 2, 3, 4]) AS n), (SELECT unnest(range(1, 30)) AS i) WHERE i + n - 1 <= len(run))
-SELECT id, gram FROM g""")
+@query(rf"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(lower(s), '[{A.CJK}]+')) AS run FROM (SELECT doc_id, {_HAN} AS s FROM documents)),
+g AS (SELECT DISTINCT doc_id, substr(run, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS gram FROM r, (SELECT unnest([1, 2, 3, 4]) AS n), (SELECT unnest(range(1, 30)) AS i) WHERE i + n - 1 <= len(run))
+SELECT doc_id, gram FROM g""")
 def cjk_ngrams(spark, sf_dir):
-    d = A.analyze(spark.createDataFrame(_INLINE, "id int, s string"), ["s"], "id")
-    cjk = F.filter(A.terms(d), lambda t: t.rlike(f"^[{A.CJK}]"))
-    return d.select(F.col("doc_id").cast("int").alias("id"), F.explode(cjk).alias("gram"))
+    d = A.analyze(table(spark, sf_dir, "documents").select("doc_id", F.expr(_HAN).alias("s")), ["s"])
+    return d.select("doc_id", F.explode(F.filter(A.terms(d), lambda t: t.rlike(f"^[{A.CJK}]"))).alias("gram"))
+
+
+_WIDE = "'Ｈｅｌｌｏ　Ｗｏｒｌｄ １２ ﬃ ΣΑς '"
 
 
-@query("SELECT * FROM (VALUES (1, 'hello world'), (2, 'abc 123'), (3, 'ﬃ office'), (4, 'σας')) t(id, tokens)".replace("ﬃ", "ffi"))
+@query(f"WITH {Q.token_ctes(f'SELECT doc_id, concat({chr(39)}Hello World 12 ffi ΣΑς {chr(39)}, nfc_normalize(text)) AS text FROM documents')} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM tok")
 def nfkc_fold(spark, sf_dir):
-    rows = [(1, "Ｈｅｌｌｏ　Ｗｏｒｌｄ"), (2, "ＡＢＣ １２３"), (3, "ﬃ oﬃce"), (4, "ΣΑΣ".replace("ΑΣ", "Ας"))]
-    d = A.analyze(spark.createDataFrame(rows, "id int, s string"), ["s"], "id")
-    return d.select(F.col("doc_id").cast("int").alias("id"), F.array_join("tokens", " ").alias("tokens"))
+    """Wide letters, a ligature and a final sigma before every text; other texts are composed already."""
+    d = A.analyze(table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat({_WIDE}, text)").alias("s")), ["s"])
+    return d.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("SELECT doc_id, CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS same, CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS same32 FROM documents")
+def fast_hash(spark, sf_dir):
+    """Rows of equal hash: the hashes tell texts apart and agree on equal ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.fast_hash(F.col("text")).alias("h"), F.struct(X.fast_hash32(F.col("text")), F.length("text"), F.left("text", F.lit(50))).alias("h32"))
+    out = docs
+    for h, name in (("h", "same"), ("h32", "same32")):
+        out = out.join(docs.groupBy(h).agg(F.count("*").alias(name)), h)
+    return out.select("doc_id", "same", "same32")
+
+
+# ---- the stored engine: flush, update, delete, search, compact
+
+
+def _stored(spark, sf_dir: str, changed: bool = False, compact: bool = False):
+    """An engine on all documents; ``changed``: German ones replaced and ``src1`` deleted in a second commit."""
+    from lexloom.config import EngineConfig
+    from lexloom.engine import SearchEngine
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    slots = spark.sparkContext.defaultParallelism
+    docs = docs.repartition(slots) if len(docs.inputFiles()) < slots else docs
+    e = SearchEngine(spark, EngineConfig.persistent(store.scratch(spark)))
+    e.add_frame(docs, ["text"])
+    e.flush()
+    if changed:
+        e.add_frame(docs.where("lang = 'de'").select("doc_id", F.concat_ws(" ", F.lit("replaced by"), "source").alias("text")), ["text"])
+        e.remove_frame(docs.where("source = 'src1'").select("doc_id"))
+        e.flush()
+    if compact:
+        e.compact()
+    return e
+
+
+_NOW = f"""WITH {_TOK.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN concat_ws(' ', 'replaced by', source) ELSE text END AS text FROM documents WHERE coalesce(source, '') <> 'src1')")}"""
+
+
+@query(f"WITH {_TOK} {Q.all_terms(['the', 'tion'])}")
+def stored_search(spark, sf_dir):
+    return _stored(spark, sf_dir).search("The tion").frame
+
+
+@query(f"{_NOW} {Q.all_terms(['replaced', 'by'])} UNION {Q.all_terms(['tion'])}")
+def stored_update_search(spark, sf_dir):
+    return _stored(spark, sf_dir, True).search_or(["replaced by", "tion"]).frame
+
+
+@query(f"{_NOW} {Q.phrase(['of', 'the'])}")
+def stored_compact_phrase(spark, sf_dir):
+    return _stored(spark, sf_dir, True, True).search('"of the"').frame
+
+
+@query(f"{_NOW}, {Q.scored(['tion', 'the'])} SELECT doc_id, round(score, 6) AS score FROM scored")
+def stored_update_scored(spark, sf_dir):
+    return _stored(spark, sf_dir, True).search_scored("tion the").withColumn("score", F.round("score", 6))
+
+
+@query(f"{_NOW} SELECT DISTINCT unnest(tokens) AS term FROM tok")
+def stored_compact_terms(spark, sf_dir):
+    return _stored(spark, sf_dir, True, True).all_terms()
+
+
+@query(f"WITH {_TOK}, {_cand('thonin')} SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) JOIN cand USING (term)")
+def stored_fuzzy_search(spark, sf_dir):
+    return _stored(spark, sf_dir).fuzzy_search("thonin", 1_000_000).frame
+
+
+@query(f"""{_NOW} SELECT 0 AS query_id, doc_id FROM ({Q.all_terms(['the', 'and'])}) UNION ALL SELECT 1, doc_id FROM ({Q.phrase(['of', 'the'])})""")
+def stored_batch(spark, sf_dir):
+    found = _stored(spark, sf_dir, True).search_batch(["the and", '"of the"'])
+    return found[0].frame.select(F.lit(0).alias("query_id"), "doc_id").unionByName(found[1].frame.select(F.lit(1).alias("query_id"), "doc_id"))
+
+
+@query(f"""{_NOW} SELECT CAST(count(*) AS BIGINT) AS doc_count, CAST(sum(len(tokens)) AS BIGINT) AS total_tokens, (SELECT count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM tok)) AS term_count,
+  CAST(2 AS BIGINT) AS segment_count, CAST(0 AS BIGINT) AS buffered, (SELECT count(*) FROM ({Q.all_terms(['the'])})) AS hits, (SELECT min(doc_id) FROM ({Q.all_terms(['the'])})) AS first FROM tok""")
+def stored_statistics(spark, sf_dir):
+    e = _stored(spark, sf_dir, True)
+    s, hits = e.stats(), e.search("the")
+    first = hits.top(1)[0]
+    row = (int(s["doc_count"]), int(s["total_tokens"]), int(s["term_count"]), int(s["segment_count"]), e.buffer_size(), hits.total_hits, first if hits.contains(first) else -1)
+    return spark.createDataFrame([row], "doc_count long, total_tokens long, term_count long, segment_count long, buffered long, hits long, first long")

@@ -1,20 +1,29 @@
 """Versioned index tables on any Hadoop file system, resolved by latest operation.
 
 A store is a folder of immutable segments and numbered manifests.  A segment
-holds ``docs`` (one row an operation: ``seq, op, doc_id, tokens, grams, dl``) and
-``postings`` (``term, doc_id, seq, tf, dl``), hash-spread by term and sorted by
-it, so a term filter skips row groups.  A commit writes a segment, then a new
-manifest that lists the live segments, by rename: readers see the old version or
-the new one, and a job that dies leaves only files nobody lists.
-
-Of all operations on a document the one of highest ``seq`` counts.  ``compact``
-rewrites what is live as one segment.
+holds ``docs`` (one row an operation and document: ``seq, op, doc_id, tokens, grams,
+dl``; all of a segment have its ``seq``), ``postings`` (``term, doc_id, seq, tf, dl``),
+hash-spread by term and sorted by it, so a term filter skips row groups, ``terms``,
+and ``superseded`` (``doc_id, seq``): the rows of earlier segments that its
+operations replace.  Readers leave those out by an anti-join with that short list;
+where nothing was replaced there is nothing to join.
+
+A commit writes a segment, then a new manifest that lists the live segments, by
+rename: readers see the old version or the new one, and a job that dies leaves only
+files nobody lists.  Manifests carry a checksum; a damaged one is set aside.  Of two
+writers only one publishes a version on file systems whose rename or create
+is atomic (HDFS, local disks); object stores need a single writer.
+
+``compact`` rewrites what is live as one segment.  ``wal/`` logs writes that wait for
+a commit: each file is one batch, deleted once a manifest lists it as committed.
 """
 
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
+import zlib
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,12 +32,23 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import index as I
 
-FORMAT = 1
+FORMAT = 2
 OPS = "seq long, op string, doc_id long, tokens array<string>, grams array<string>, dl int"
 POSTINGS = "term string, doc_id long, seq long, tf int, dl int"
+TERMS, SUPERSEDED = "term string, df long", "doc_id long, seq long"
 UPSERT, DELETE = "upsert", "delete"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own, in the one all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lexloom-")
+    return f"{root.rstrip('/')}/lexloom/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+
+
 class IncompatibleStore(RuntimeError):
     """A manifest of another format."""
 
@@ -70,6 +90,9 @@ class Files:
             return False
         return True
 
+    def rename(self, old: str, new: str) -> bool:
+        return self.fs.rename(self._path(old), self._path(new))
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self._path(name), True)
 
@@ -79,8 +102,12 @@ class Manifest:
     version: int = 0
     segments: list[str] = field(default_factory=list)
     last_seq: int = 0
-    #: whether the segments hold live rows only (no resolution needed)
-    clean: bool = True
+    #: rows of its segments that later ones replace
+    superseded: int = 0
+    #: logged batches that are committed (and may still have to be deleted)
+    logged: list[str] = field(default_factory=list)
+    #: last committed batch of each stream
+    streams: dict[str, int] = field(default_factory=dict)
 
 
 def resolve(ops: DataFrame) -> DataFrame:
@@ -114,16 +141,22 @@ class Store:
         versions = sorted(int(n[:-5]) for n in self.files.names("manifests") if n.endswith(".json"))
         if not versions:
             return Manifest()
-        raw = json.loads(self.files.read(f"manifests/{versions[-1]:012d}.json"))
-        if raw.pop("format", None) != FORMAT:
+        name = f"manifests/{versions[-1]:012d}.json"
+        raw = json.loads(self.files.read(name))
+        if raw.get("format") != FORMAT:
             raise IncompatibleStore(f"{self.path}: not a store of format {FORMAT}")
-        return Manifest(**raw)
+        body = raw.get("manifest")
+        if zlib.crc32(json.dumps(body, sort_keys=True).encode()) != raw.get("crc"):
+            self.files.rename(name, f"{name}.incompatible")
+            raise IncompatibleStore(f"{self.path}: {name} is damaged; it was set aside")
+        return Manifest(**body)
 
     def reload(self) -> None:
         self.manifest = self._load()
 
     def _publish(self, new: Manifest) -> None:
-        text = json.dumps({"format": FORMAT, **new.__dict__})
+        crc = zlib.crc32(json.dumps(new.__dict__, sort_keys=True).encode())
+        text = json.dumps({"format": FORMAT, "crc": crc, "manifest": new.__dict__})
         if not self.files.write(f"manifests/{new.version:012d}.json", text):
             raise RuntimeError(f"{self.path}: another writer published version {new.version}")
         self.manifest = new
@@ -135,35 +168,98 @@ class Store:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def ops(self) -> DataFrame:
+        """All operations of all segments."""
         return self._read("docs", OPS)
 
-    def postings(self) -> DataFrame:
-        """Postings of all segments, superseded ones included."""
-        return self._read("postings", POSTINGS)
+    def superseded(self) -> DataFrame:
+        """``doc_id, seq`` of rows that later segments replaced."""
+        return self._read("superseded", SUPERSEDED)
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.superseded(), ["doc_id", "seq"], "left_anti") if self.manifest.superseded else rows
+
+    def live_documents(self) -> DataFrame:
+        """``seq, doc_id, tokens, grams, dl`` of live documents."""
+        return self._live(self.ops().where(F.col("op") == UPSERT)).drop("op")
+
+    def live_postings(self) -> DataFrame:
+        return self._live(self._read("postings", POSTINGS))
+
+    def terms(self) -> DataFrame | None:
+        """Terms of the segments, if all of them are live."""
+        return None if self.manifest.superseded or not self.manifest.segments else self._read("terms", TERMS)
+
+    def _segment(self, name: str, kind: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/segments/{name}/{kind}")
 
     def _write_segment(self, ops: DataFrame) -> str:
         name = f"{self.manifest.version + 1:012d}-{uuid.uuid4().hex}"
-        ops.write.parquet(f"{self.path}/segments/{name}/docs")
-        written = self.spark.read.parquet(f"{self.path}/segments/{name}/docs")
-        posted = I.postings(written.where(F.col("op") == UPSERT).drop("op"))
-        posted.select("term", "doc_id", "seq", "tf", "dl").repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("term", "doc_id").write.parquet(f"{self.path}/segments/{name}/postings")
+        root = f"{self.path}/segments/{name}"
+        ops.select("seq", "op", "doc_id", "tokens", "grams", "dl").write.parquet(f"{root}/docs")
+        posted = I.postings(self._segment(name, "docs", OPS).where(F.col("op") == UPSERT).drop("op")).select("term", "doc_id", "seq", "tf", "dl")
+        posted.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/postings")
+        self._segment(name, "postings", POSTINGS).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{root}/terms")
         return name
 
-    def append(self, ops: DataFrame, last_seq: int) -> str:
-        """Commit operations as a new segment."""
-        name = self._write_segment(ops)
+    def append(self, ops: DataFrame, last_seq: int, logged: list[str] | None = None, stream: tuple[str, int] | None = None) -> str:
+        """Commit operations (one a document) as a new segment."""
         old = self.manifest
-        # a segment holds one operation a document; only the very first needs no resolving
-        clean = not old.segments and ops.where(F.col("op") == DELETE).isEmpty()
-        self._publish(Manifest(old.version + 1, [*old.segments, name], last_seq, clean))
+        seq = max(last_seq, old.last_seq + 1)
+        name = self._write_segment(ops.withColumn("seq", F.lit(seq).cast("long")))
+        gone = 0
+        if old.segments:
+            ids = self._segment(name, "docs", OPS).select("doc_id")
+            before = self._live(self.ops().where(F.col("op") == UPSERT).select("doc_id", "seq"))
+            before.join(ids, "doc_id", "left_semi").write.parquet(f"{self.path}/segments/{name}/superseded")
+            gone = self._segment(name, "superseded", SUPERSEDED).count()
+        else:
+            self.spark.createDataFrame([], SUPERSEDED).write.parquet(f"{self.path}/segments/{name}/superseded")
+        left = set(self.files.names("wal"))
+        streams = {**old.streams, **({stream[0]: stream[1]} if stream else {})}
+        self._publish(Manifest(old.version + 1, [*old.segments, name], seq, old.superseded + gone, [*[n for n in old.logged if n in left], *(logged or [])], streams))
+        for n in self.manifest.logged:
+            self.files.delete(f"wal/{n}")
         return name
 
+    def term_rows(self, name: str) -> int:
+        """Number of distinct terms of a segment (from the files' footers)."""
+        return self._segment(name, "terms", TERMS).count()
+
     def compact(self) -> None:
         """Rewrite live documents as one segment and swap the manifest."""
         old = self.manifest
-        live = live_documents(self.ops()).withColumn("op", F.lit(UPSERT)).select("seq", "op", "doc_id", "tokens", "grams", "dl")
-        name = self._write_segment(live)
-        self._publish(Manifest(old.version + 1, [name], old.last_seq, True))
+        name = self._write_segment(self.live_documents().withColumn("op", F.lit(UPSERT)).withColumn("seq", F.lit(old.last_seq).cast("long")))
+        self.spark.createDataFrame([], SUPERSEDED).write.parquet(f"{self.path}/segments/{name}/superseded")
+        self._publish(Manifest(old.version + 1, [name], old.last_seq, 0, old.logged, old.streams))
+
+    # ---- the log of writes that wait for a commit
+
+    def log(self, seq: int, rows: list[tuple]) -> str:
+        """Write single operations ``(seq, op, doc_id, tokens, grams, dl)`` down; the batch's name."""
+        name = f"{seq:020d}-{uuid.uuid4().hex}.json"
+        if not self.files.write(f"wal/{name}", json.dumps(rows)):
+            raise RuntimeError(f"{self.path}: the log can't be written")
+        return name
+
+    def log_frame(self, seq: int, frame: DataFrame) -> tuple[str, DataFrame]:
+        """The same for a table of texts; it is read back from the log."""
+        name = f"{seq:020d}-{uuid.uuid4().hex}.parquet"
+        frame.write.parquet(f"{self.path}/wal/.{name}")
+        if not self.files.rename(f"wal/.{name}", f"wal/{name}"):
+            raise RuntimeError(f"{self.path}: the log can't be written")
+        return name, self.spark.read.schema(frame.schema).parquet(f"{self.path}/wal/{name}")
+
+    def pending(self) -> list[tuple[str, list[tuple] | DataFrame]]:
+        """Logged batches without a commit, oldest first."""
+        out: list[tuple[str, list[tuple] | DataFrame]] = []
+        for n in sorted(self.files.names("wal")):
+            if n in self.manifest.logged:
+                continue
+            if n.endswith(".json"):
+                out.append((n, [tuple(r) for r in json.loads(self.files.read(f"wal/{n}"))]))
+            elif n.endswith(".parquet") and not n.startswith("."):
+                out.append((n, self.spark.read.parquet(f"{self.path}/wal/{n}")))
+        return out
 
     def vacuum(self) -> int:
         """Delete segments that the latest manifest doesn't list."""

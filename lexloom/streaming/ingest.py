@@ -1,8 +1,8 @@
 """Incremental ingest: a stream of document operations into an engine's store.
 
-Each micro-batch is one commit.  The batch id is the commit's idempotence key:
-a batch that is replayed after a failure finds its mark and is skipped, so the
-stream is exactly-once.  Order inside a batch is given by ``seq_col``; without
+Each micro-batch is one commit, and the batch id stands in the manifest that
+commits it: a batch that is replayed after a failure is skipped, so the stream is
+exactly-once.  Order inside a batch is given by ``seq_col``; without
 it, deletes come after upserts.
 """
 
@@ -30,11 +30,12 @@ def write_stream(engine, stream: DataFrame, columns: list[str], checkpoint: str,
     name = F.xxhash64(F.lit(checkpoint))
     key = stream.sparkSession.range(1).select(name.alias("k")).first()["k"]
 
+    mark = f"{key & (2**64 - 1):016x}"
+
     def commit(batch: DataFrame, batch_id: int) -> None:
-        mark = f"streams/{key & (2**64 - 1):016x}/{batch_id:012d}"
-        if store.files.exists(mark):
-            return
         store.reload()
+        if store.manifest.streams.get(mark, -1) >= batch_id:
+            return
         last = latest_per_document(batch.where(F.col(doc_id).isNotNull()), doc_id, op, seq_col)
         seq = store.manifest.last_seq + 1
         kind = F.coalesce(F.col(op), F.lit(ST.UPSERT)) if op else F.lit(ST.UPSERT)
@@ -42,9 +43,8 @@ def write_stream(engine, stream: DataFrame, columns: list[str], checkpoint: str,
         kinds = last.select(F.col(doc_id).cast("long").alias("doc_id"), kind.alias("op"))
         ops = analyzed.join(kinds, "doc_id").withColumn("seq", F.lit(seq).cast("long")).select("seq", "op", "doc_id", "tokens", "grams", "dl")
         if not ops.isEmpty():
-            store.append(ops, seq)
+            store.append(ops, seq, stream=(mark, batch_id))
             engine.refresh()
-        store.files.write(mark, "")
 
     writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
