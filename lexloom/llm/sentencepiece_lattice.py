@@ -46,7 +46,7 @@ from lexloom.llm import textnp as X
 from lexloom.llm import token_counts
 from lexloom.llm.lattice import Lattice
 
-TABLE_ROWS, PER_PARTITION, CACHE_ROWS, MAX_CHARS = 131_072, 32_768, 1_000_000, 60
+TABLE_ROWS, PER_PARTITION, CACHE_ROWS, MAX_CHARS, UNITS = 131_072, 32_768, 400_000, 60, 20_000
 #: Places of the fields of a packed edge: rank from bit 32, id below bit 20.
 _START, _LENGTH, _ID = 26, 20, (1 << 20) - 1
 
@@ -190,6 +190,13 @@ class Ids:
         at = np.repeat(first[:-1][order] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
         self.keys, self.first, self.flat = keys[order], np.r_[0, np.cumsum(size)], flat[at]
 
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """Place of each hash; -1 if it isn't there."""
+        if not len(self.keys):
+            return np.full(len(asked), -1)
+        slot = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        return np.where(self.keys[slot] == asked, slot, -1)
+
 
 def unit_table(spark: SparkSession, path: str, units: list[tuple[int, str]]) -> Ids:
     """Encode frequent units through the lattice."""
@@ -236,62 +243,59 @@ def gather(first: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndar
 
 
 class Encoder:
-    """Encodes chunks of texts; units outside the table go through the worker's lattice and are cached."""
+    """Encodes chunks of texts; units outside the table go through the worker's lattice and are cached.
+
+    The cache is a table of arrays like the broadcast one: a unit takes some 30 bytes.
+    """
 
     def __init__(self, path: str, table: Ids, cache_rows: int = CACHE_ROWS):
         self.table, self.cache_rows = table, cache_rows
-        self.cache: dict[int, list[int]] = {}
+        self.cache = Ids(np.zeros(0, X.U64), np.zeros(1, np.int64), np.zeros(0, np.int32))
         self.lattice = lattice(path)
         buf = np.frombuffer(b"\n" + b"\0" * 8, np.uint8)
-        self.line = self.lattice.encode(buf, np.array([0]), np.array([1]), np.array([0]))[0].tolist()
-        self.runs: dict[int, list[int]] = {}
+        self.line = self.lattice.encode(buf, np.array([0]), np.array([1]), np.array([0]))[0]
+        self.runs: dict[int, np.ndarray] = {}
 
-    def units(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, spaces: np.ndarray) -> list[list[int]]:
-        ids, count = self.lattice.encode(buf, starts, ends, spaces)
-        cut = np.r_[0, np.cumsum(count)].tolist()
-        ids = ids.tolist()
-        return [ids[a:b] for a, b in zip(cut, cut[1:])]
-
-    def run(self, spaces: int) -> list[int]:
+    def run(self, spaces: int) -> np.ndarray:
         """Ids of a run of spaces without a word."""
         if spaces not in self.runs:
             if len(self.runs) > 4096:
                 self.runs.clear()
-            self.runs[spaces] = self.units(np.zeros(8, np.uint8), np.array([0]), np.array([0]), np.array([spaces]))[0]
+            self.runs[spaces] = self.lattice.encode(np.zeros(8, np.uint8), np.array([0]), np.array([0]), np.array([spaces]))[0]
         return self.runs[spaces]
 
     def __call__(self, off: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows in order, and the number of ids of each row."""
-        u, t = P.Units(off, buf), self.table
+        u = P.Units(off, buf)
         h = u.hashes()
-        slot = np.full(len(h), -1)
-        if len(t.keys) and len(h):
-            s = np.minimum(np.searchsorted(t.keys, h), len(t.keys) - 1)
-            slot = np.where(t.keys[s] == h, s, -1)
+        # places in the table, behind it in the cache, and behind that among the new units
+        slot = self.table.find(h)
         miss = np.flatnonzero(slot < 0)
+        old = self.cache.find(h[miss])
+        slot[miss[old >= 0]] = len(self.table.keys) + old[old >= 0]
+        miss = miss[old < 0]
         distinct, one, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
-        known = [self.cache.get(x) for x in distinct.tolist()]
-        fresh = [i for i, x in enumerate(known) if x is None]
-        for lo in range(0, len(fresh), 50_000):
-            some = fresh[lo : lo + 50_000]
-            x = miss[one[some]]
-            for i, ids in zip(some, self.units(buf, u.starts[x], u.ends[x], u.spaces[x])):
-                known[i] = ids
-        if len(self.cache) + len(fresh) > self.cache_rows:
-            self.cache.clear()
-        self.cache.update((int(distinct[i]), known[i]) for i in fresh[: self.cache_rows])
+        new = [self.lattice.encode(buf, u.starts[x], u.ends[x], u.spaces[x]) for x in (miss[one[lo : lo + UNITS]] for lo in range(0, len(one), UNITS))]
+        ids, count = (np.concatenate([n[k] for n in new]) if new else np.zeros(0, np.int64) for k in (0, 1))
+        slot[miss] = len(self.table.keys) + len(self.cache.keys) + inverse
         runs, run_of = np.unique(u.lone_spaces, return_inverse=True)
-        extra = [*known, *(self.run(int(k)) for k in runs), self.line]
-        flat = np.concatenate([t.flat, np.array([x for y in extra for x in y], np.int32)])
-        first = np.r_[t.first, t.first[-1] + np.cumsum([len(x) for x in extra])]
-        slot[miss] = len(t.keys) + inverse
+        extra = [*(self.run(int(k)) for k in runs), self.line]
+        known = [self.table, self.cache]
+        flat = np.concatenate([*(t.flat for t in known), ids.astype(np.int32), *extra])
+        first = np.r_[0, np.cumsum(np.concatenate([*(np.diff(t.first) for t in known), count, [len(x) for x in extra]]).astype(np.int64))]
         # words, lone runs before newlines, and newlines, in text order
         at = np.concatenate([u.starts * 2 + 1, u.lone_at * 2, u.lines * 2 + 1])
         row = np.concatenate([u.rows, u.lone_rows, u.line_rows])
-        item = np.concatenate([slot, len(t.keys) + len(known) + run_of, np.full(len(u.lines), len(first) - 2)]).astype(np.int64)
+        last = len(first) - 2
+        item = np.concatenate([slot, last - len(runs) + run_of, np.full(len(u.lines), last)]).astype(np.int64)
         order = np.lexsort((at, row))
-        ids, size = gather(first, flat, item[order])
-        return ids, np.bincount(row[order], size, len(off) - 1).astype(np.int64)
+        out, size = gather(first, flat, item[order])
+        if len(distinct) <= self.cache_rows:
+            if len(self.cache.keys) + len(distinct) > self.cache_rows:
+                self.cache = Ids(distinct, np.r_[0, np.cumsum(count)], ids.astype(np.int32))
+            else:
+                self.cache = Ids(np.concatenate([self.cache.keys, distinct]), np.r_[self.cache.first, self.cache.first[-1] + np.cumsum(count)], np.concatenate([self.cache.flat, ids.astype(np.int32)]))
+        return out, np.bincount(row[order], size, len(off) - 1).astype(np.int64)
 
 
 @lru_cache(maxsize=4)

@@ -121,5 +121,5 @@ def test_worker_lattice_equals_the_library(sp):
     want = P.encode_units(P.model_path(), units)
     assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == want
     encoder = S.Encoder(P.model_path(), S.Ids(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)))
-    assert all(encoder.run(k) == list(P.run_ids(P.model_path(), k)) for k in [*range(1, 80), 300])
-    assert encoder.line == [sp.encode("\n\n")[-1]]
+    assert all(encoder.run(k).tolist() == list(P.run_ids(P.model_path(), k)) for k in [*range(1, 80), 300])
+    assert encoder.line.tolist() == [sp.encode("\n\n")[-1]]
