@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,18 @@ class IdSet:
         place = F.expr("bitmap_bucket_number(doc_id)").alias("bucket")
         return self.frame.groupBy(place).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(doc_id))").alias("bitmap"))
 
+    @classmethod
+    def from_dense(cls, dense: DataFrame) -> IdSet:
+        """The ids of the compact form; bucket 0 holds id 0 alone."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for bucket, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
+                    yield pa.record_batch({"doc_id": pa.array(at + (bucket - 1) * 32_768 + 1 if bucket else at, pa.int64())})
+
+        return cls(dense.select("bucket", "bitmap").mapInArrow(run, "doc_id long"))
+
     def to_numpy(self) -> np.ndarray:
         return np.array(self.to_list(), np.uint64)
 

@@ -209,12 +209,24 @@ def result_page(spark, sf_dir):
     return _handle(spark, sf_dir, "the").page_frame(50, 25)
 
 
-@query(f"WITH {_TOK} SELECT CAST(doc_id // 32768 + 1 AS BIGINT) AS bucket, count(*) AS ids FROM ({Q.all_terms(['the'])}) GROUP BY 1")
+@query(f"WITH {_TOK} SELECT CAST(CASE WHEN doc_id > 0 THEN (doc_id - 1) // 32768 + 1 ELSE 0 END AS BIGINT) AS bucket, count(*) AS ids FROM ({Q.all_terms(['the'])}) GROUP BY 1")
 def idset_dense(spark, sf_dir):
     dense = idset.IdSet(search.search(built(spark, sf_dir), "the")).dense()
     return dense.select(F.col("bucket").cast("long").alias("bucket"), F.expr("bitmap_count(bitmap)").alias("ids"))
 
 
+@query(f"WITH {_TOK} {Q.all_terms(['the'])}")
+def idset_dense_read_back(spark, sf_dir):
+    return idset.IdSet.from_dense(idset.IdSet(search.search(built(spark, sf_dir), "the")).dense()).frame
+
+
+@query(f"WITH {_TOK} {Q.all_terms(['the'])} EXCEPT {Q.all_terms(['tion'])} EXCEPT SELECT 7 UNION SELECT 7 UNION SELECT 5000000000")
+def idset_algebra(spark, sf_dir):
+    own = built(spark, sf_dir)
+    the, tion = (idset.IdSet(search.term_postings(own, t)) for t in ("the", "tion"))
+    return ((the | tion) - tion).remove(7).add(7, 5_000_000_000).frame
+
+
 @query(f"WITH {_TOK} {Q.all_terms(['the'])} INTERSECT {Q.all_terms(['and'])} INTERSECT {Q.all_terms(['in'])}")
 def idset_intersection(spark, sf_dir):
     own = built(spark, sf_dir)
