@@ -500,7 +500,7 @@ class SearchEngine:
 
     def wal_size(self) -> int:
         """Bytes of the log of writes that wait for a commit."""
-        return self.store.files.size("wal") if self.store else 0
+        return self.store.log_size() if self.store else 0
 
     def wal_pending_batches(self) -> int:
         return len(self._logged)

@@ -15,7 +15,8 @@ writers only one publishes a version on file systems whose rename or create
 is atomic (HDFS, local disks); object stores need a single writer.
 
 ``compact`` rewrites what is live as one segment.  ``wal/`` logs writes that wait for
-a commit: each file is one batch, deleted once a manifest lists it as committed.
+a commit: each file is one batch.  The manifest that commits a batch lists it; its
+file goes with the commit after that, or with ``vacuum``.
 """
 
 from __future__ import annotations
@@ -215,9 +216,10 @@ class Store:
         else:
             self.spark.createDataFrame([], SUPERSEDED).write.parquet(f"{self.path}/segments/{name}/superseded")
         left = set(self.files.names("wal"))
+        done = [n for n in old.logged if n in left]  # of earlier commits: results from before this one may still read the new ones
         streams = {**old.streams, **({stream[0]: stream[1]} if stream else {})}
-        self._publish(Manifest(old.version + 1, [*old.segments, name], seq, old.superseded + gone, [*[n for n in old.logged if n in left], *(logged or [])], streams))
-        for n in self.manifest.logged:
+        self._publish(Manifest(old.version + 1, [*old.segments, name], seq, old.superseded + gone, [*done, *(logged or [])], streams))
+        for n in done:
             self.files.delete(f"wal/{n}")
         return name
 
@@ -249,6 +251,10 @@ class Store:
             raise RuntimeError(f"{self.path}: the log can't be written")
         return name, self.spark.read.schema(frame.schema).parquet(f"{self.path}/wal/{name}")
 
+    def log_size(self) -> int:
+        """Bytes of logged batches without a commit."""
+        return sum(self.files.size(f"wal/{n}") for n in self.files.names("wal") if n not in self.manifest.logged)
+
     def pending(self) -> list[tuple[str, list[tuple] | DataFrame]]:
         """Logged batches without a commit, oldest first."""
         out: list[tuple[str, list[tuple] | DataFrame]] = []
@@ -262,7 +268,9 @@ class Store:
         return out
 
     def vacuum(self) -> int:
-        """Delete segments that the latest manifest doesn't list."""
+        """Delete segments that the latest manifest doesn't list, and logged batches that it does."""
+        for n in self.manifest.logged:
+            self.files.delete(f"wal/{n}")
         gone = [n for n in self.files.names("segments") if n not in self.manifest.segments]
         for n in gone:
             self.files.delete(f"segments/{n}")
