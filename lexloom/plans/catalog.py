@@ -403,7 +403,18 @@ def fast_hash(spark, sf_dir):
 # ---- the stored engine: flush, update, delete, search, compact
 
 
+#: Engines by application, tables and state: queries of one session share a store, as an engine's user does.
+_OPEN: dict = {}
+
+
 def _stored(spark, sf_dir: str, changed: bool = False, compact: bool = False):
+    key = (spark.sparkContext.applicationId, sf_dir, changed, compact)
+    if key not in _OPEN:
+        _OPEN[key] = _store(spark, sf_dir, changed, compact)
+    return _OPEN[key]
+
+
+def _store(spark, sf_dir: str, changed: bool, compact: bool):
     """An engine on all documents; ``changed``: German ones replaced and ``src1`` deleted in a second commit."""
     from lexloom.config import EngineConfig
     from lexloom.engine import SearchEngine
