@@ -11,10 +11,10 @@ length (short texts vary more, and texts with copies stretch the lower side only
 below the lower end of the bytes' band as too uniform; the words' band has no lower
 end, as a text with copies elsewhere is easy to foretell and not bad for it.
 
-The byte model is the lower order and is broadcast: it keeps the n-grams that
-occur at least ``2^k`` times, with the least k (0 for most corpora) that leaves
-``max_grams`` in all languages together; rarer ones back off.  The word model keeps
-all bigrams and grows with the corpus.
+The byte model is the lower order and keeps all n-grams.  Up to ``max_grams`` in all
+languages together it is gathered and broadcast; a larger one is computed by Spark
+and mapped from files (``kneser_ney.fit_spread``), with the same probabilities.  The
+word model keeps all bigrams and grows with the corpus.
 
 Cases: null texts are empty; empty and blank texts have no words and fail the
 base rules; the null language is a language, and there may be any number of them;
@@ -114,18 +114,16 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(lang, text).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", max_grams: int = MAX_GRAMS) -> dict[str | None, K.Model]:
-    """A byte model for each language; ``max_grams`` n-grams at most in all."""
-    grams = C.materialize(count_grams(docs, lang, text), "grams").withColumn("k", F.length(F.bin("n")))
-    rows = {r["k"]: r["count"] for r in grams.groupBy("k").count().collect()}  # 64 rows at most
-    least = 1
-    while sum(n for k, n in rows.items() if k >= least) > max_grams:
-        least += 1
-    table = grams.where(F.col("k") >= least).toPandas()
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", max_grams: int = MAX_GRAMS) -> dict[str | None, K.Model | K.Mapped]:
+    """A byte model of all n-grams for each language; more than ``max_grams`` in all are not gathered."""
+    grams = C.materialize(count_grams(docs, lang, text), "grams")
+    if grams.count() > max_grams:
+        return K.fit_spread(grams)
+    table = grams.toPandas()
     return {None if isinstance(g, float) or g is None else g: K.fit(t.gram.to_numpy(), t.n.to_numpy()) for g, t in table.groupby("lang", dropna=False)}
 
 
-def measure(docs: DataFrame, models: dict[str | None, K.Model], doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, models: dict[str | None, K.Model | K.Mapped], doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """Base columns, ``base_failed`` and ``log_ppl`` per document."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 

@@ -117,13 +117,13 @@ def pack_keys(key: np.ndarray, back: np.ndarray) -> tuple[bytes, ...]:
     place = np.empty(len(kinds), np.uint32)
     place[order] = np.arange(len(kinds))
     step = np.diff(np.r_[np.uint32(0), kinds[order]]) & np.uint32(_WORD)
-    return tuple(map(squeeze, (np.diff(np.r_[X.U64(0), context[first]]), np.diff(np.r_[first, len(key)]).astype(np.uint32), step, back[one[order]], place[inverse])))
+    return tuple(map(squeeze, (np.diff(np.r_[X.U64(0), context[first]]), np.diff(np.r_[first, len(key)]).astype(np.uint32), step, back[one[order]].astype(np.uint32), place[inverse])))
 
 
 def unpack_keys(contexts: bytes, sizes: bytes, words: bytes, values: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
     at = unsqueeze(places, np.uint32)
     word = np.cumsum(unsqueeze(words, np.uint32), dtype=X.U64) & _WORD
-    return (np.repeat(np.cumsum(unsqueeze(contexts, X.U64)), unsqueeze(sizes, np.uint32)) << X.U64(_WORD_BITS)) | word[at], unsqueeze(values, np.uint16)[at]
+    return (np.repeat(np.cumsum(unsqueeze(contexts, X.U64)), unsqueeze(sizes, np.uint32)) << X.U64(_WORD_BITS)) | word[at], unsqueeze(values, np.uint32)[at]
 
 
 def parts_of(b: pa.RecordBatch, lang: int, text: int):
@@ -235,9 +235,14 @@ def score_packets(kinds: list[np.ndarray], count: list[np.ndarray], back: list[n
         x = slice(lo, lo + (1 << 19))
         a, c, m = at[x], where[at[x]], size[x]
         left, rest = both[a] - m, single[c] - own[same[x]]
-        b = np.exp(-byte[kind[x]].astype(float) / _STEPS)
+        log_b = -byte[kind[x]].astype(float) / _STEPS
+        b = np.exp(log_b)
         p = np.where(rest > 0, np.maximum(left - cut[np.minimum(left, 3)], 0) / np.maximum(rest, 1) + gamma[c] * b, b)
-        total += np.bincount(text[x], m * np.log(p), base[-1])
+        low = np.flatnonzero(p < 1e-300)  # words of some hundred bytes that only the byte model knows
+        p[low] = 1
+        logs = np.log(p)
+        logs[low] = log_b[low] + np.log(np.where(rest[low] > 0, gamma[c[low]], 1))
+        total += np.bincount(text[x], m * logs, base[-1])
     out = []
     for lo, hi in zip(base[:-1], base[1:]):
         d = np.flatnonzero(seen[lo:hi])
@@ -245,12 +250,12 @@ def score_packets(kinds: list[np.ndarray], count: list[np.ndarray], back: list[n
     return out
 
 
-def scores(docs: DataFrame, models: dict[str | None, K.Model], part_tokens: int = PART_TOKENS, hot_tokens: int = HOT_TOKENS, split_tokens: int = SPLIT_TOKENS) -> DataFrame:
+def scores(docs: DataFrame, models: dict[str | None, K.Model | K.Mapped], part_tokens: int = PART_TOKENS, hot_tokens: int = HOT_TOKENS, split_tokens: int = SPLIT_TOKENS) -> DataFrame:
     """``key, word_log_p``: log-probability of all tokens of each ``key, lang, text`` with words."""
     spark = docs.sparkSession
     total, hot, hot_counts = hot_contexts(docs, hot_tokens)
     n_parts = max(1, -(-total // part_tokens))
-    shared = spark.sparkContext.broadcast((models, hot, hot_counts))  # the byte models are bounded, see quality.fit
+    shared = spark.sparkContext.broadcast((models, hot, hot_counts))  # byte models of quality.MAX_GRAMS at most, or names of mapped files
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, hot, hot_counts = shared.value
@@ -265,7 +270,7 @@ def scores(docs: DataFrame, models: dict[str | None, K.Model], part_tokens: int
                     own = np.flatnonzero((number == i) & (place[one] >= 0))
                     if len(own):
                         byte[own] = K.word_logs(models.get(g), buf, starts[place[one[own]]], ends[place[one[own]]])
-                back = np.minimum(np.round(-byte * _STEPS), 65_535).astype(np.uint16)
+                back = np.round(-byte * _STEPS).astype(np.uint32)
                 key, route = keys_of(w, v, hot, hot_counts, split_tokens)
                 part = (route % X.U64(n_parts)).astype(np.uint32)
                 del starts, ends, w, v, place, route

@@ -202,3 +202,26 @@ def test_planes_round_trip(kind):
     for n in (0, 1, 1000):
         a = np.random.default_rng(n).integers(0, 60_000, n).astype(kind)
         assert (W.unsqueeze(W.squeeze(a), kind) == a).all()
+
+
+def test_models_too_large_to_gather_are_whole(spark):
+    """With more n-grams than are gathered, every result is what it is with fewer."""
+    rows = chains(7)[:60] + [(500 + d, "fr", t) for d, t in corpus(3)[:20]] + [(700, None, "é世 " * 60), (701, "de", "ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    whole, spread = ({x["doc_id"]: x for x in Q.judge(docs, **m).collect()} for m in ({}, {"max_grams": 50}))
+    assert whole.keys() == spread.keys()
+    for d, x in whole.items():
+        assert abs(x["log_ppl"] - spread[d]["log_ppl"]) < 1e-9 and abs((x["word_log_ppl"] or 0) - (spread[d]["word_log_ppl"] or 0)) < 1e-9
+        assert x["kept"] == spread[d]["kept"]
+
+
+def test_very_long_words_keep_their_weight(spark):
+    """A word that the byte model gives less than the least double, and one beyond 16,384 nats."""
+    import random
+
+    r = random.Random(2)
+    pool = prose(3_000, 1, 200)
+    rows = [(i, "en", " ".join(r.sample(pool, 100))) for i in range(30)]
+    rows += [(100 + i, "en", " ".join([*r.sample(pool, 100), "".join(chr(r.randrange(33, 127)) for _ in range(n))])) for i, n in enumerate((400, 9_000, 36_000))]
+    got = {x["doc_id"]: x["word_log_ppl"] for x in Q.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert got[0] + 3 < got[100] < got[101] / 5 and 3 * got[101] < got[102] < 5 * got[101]
