@@ -337,10 +337,11 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", table_r
     new = ["ids", "n_pieces", "round_trip"]
     docs = C.without(docs, new)
     at = docs.columns.index(text)
-    units = token_counts.frequent(docs, text, PER_PARTITION, table_rows) if table_rows else []
+    units = token_counts.frequent(docs, text, PER_PARTITION, table_rows, lean=True) if table_rows else []
     shared = docs.sparkSession.sparkContext.broadcast(unit_table(docs.sparkSession, path, units))  # bounded by table_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X.lean()
         encoder = Encoder(path, shared.value, cache_rows)
         for b in batches:
             for lo, hi, off, buf in X.chunks(P.escape(b.column(at))):

@@ -8,6 +8,7 @@ are never in that class, byte-level splitting equals code-point splitting.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,22 @@ LOWER[65:91] += 32
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
 
 
+def lean(least: int = 1 << 20) -> None:
+    """Give free memory back to the system now, and arrays of over ``least`` bytes as soon as they are freed.
+
+    Workers are used again by the steps that follow, and keep what glibc and Arrow hold back for reuse.
+    """
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        for option in (-3, -1):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            libc.mallopt(option, least)
+        pa.default_memory_pool().release_unused()
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to tune
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values (a bijection on uint64)."""
     h = (h ^ (h >> U64(30))) * _M1

@@ -30,10 +30,12 @@ from lexloom.llm import textnp as X
 TABLE_ROWS, PER_PARTITION, CACHE_ROWS, LIMIT = 65_536, 8_192, 1_000_000, 4096
 
 
-def frequent(docs: DataFrame, text: str = "text", per_partition: int = PER_PARTITION, table_rows: int = TABLE_ROWS) -> list[tuple[int, str]]:
-    """The most frequent units over all texts, as (spaces, word)."""
+def frequent(docs: DataFrame, text: str = "text", per_partition: int = PER_PARTITION, table_rows: int = TABLE_ROWS, lean: bool = False) -> list[tuple[int, str]]:
+    """The most frequent units over all texts, as (spaces, word); ``lean`` workers keep no free memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if lean:
+            X.lean()
         keys, counts, names = np.zeros(0, X.U64), np.zeros(0, np.int64), np.zeros(0, object)
         for b in batches:
             for _, _, off, buf in X.chunks(P.escape(b.column(0))):

@@ -123,3 +123,32 @@ def test_worker_lattice_equals_the_library(sp):
     encoder = S.Encoder(P.model_path(), S.Ids(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)))
     assert all(encoder.run(k).tolist() == list(P.run_ids(P.model_path(), k)) for k in [*range(1, 80), 300])
     assert encoder.line.tolist() == [sp.encode("\n\n")[-1]]
+
+
+def test_workers_give_free_memory_back(tmp_path):
+    """What earlier steps left in a worker's heap goes when encoding starts, and large arrays go when freed."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "worker.py"
+    script.write_text("""
+import re
+import numpy as np
+from lexloom.llm import textnp as X
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+start = held()
+parts = [np.ones(100_000, np.uint8) for _ in range(2_000)]
+del parts[:-1]
+X.lean()
+print(held() - start)
+pin = []
+for _ in range(30):
+    a = np.ones(4 << 20, np.uint8)
+    pin.append(np.ones(90_000, np.uint8))
+    del a
+print(held() - start)
+""")
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, cwd=root, env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin"})
+    assert all(float(x) < 40 for x in out.stdout.split()) and len(out.stdout.split()) == 2, out.stdout + out.stderr
