@@ -3,8 +3,7 @@
 ``doc_tokens(doc_id, tokens, grams, dl)`` has one row a document, and
 ``postings(term, doc_id, tf, dl)`` one row a (term, document).  Carrying ``dl``
 in the postings lets ranking read nothing else.  A filter on ``term`` reaches
-the explode of an unstored index before its shuffle, and the row groups of a
-stored one.
+the explode of an unstored index before its shuffle, and the pages of a stored one.
 
 Cases: documents without tokens have no postings but count as documents; null
 ids are rejected by the importers; rows of one id must have been resolved before
@@ -13,10 +12,13 @@ ids are rejected by the importers; rows of one id must have been resolved before
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,70 @@ def postings(doc_tokens: DataFrame, terms: list[str] | None = None) -> DataFrame
     return rows.select(*carry, F.inline(F.when(F.size("grams") > 0, F.concat(counted, also)).otherwise(counted))).select("term", *carry, "tf")
 
 
+#: Tokens that are sorted at once; they bound a worker's memory.
+RUN_TOKENS = 2_000_000
+RUNS = "term string, doc_id long, seq long, tf int, dl int"
+
+
+def runs(doc_tokens: DataFrame) -> DataFrame:
+    """All postings of ``doc_id, seq, dl, tokens, grams`` in runs sorted by term.
+
+    A task sorts the tokens of some thousand documents after the other in numpy.
+    Nothing is shuffled, and nothing is sorted that could outgrow memory and spill.
+    """
+    return doc_tokens.select("doc_id", "seq", "dl", "tokens", "grams").mapInArrow(_runs, RUNS)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, room = [], RUN_TOKENS
+    for b in batches:
+        ends = np.cumsum(sum(pc.list_value_length(b.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tokens", "grams")))
+        at, before = 0, 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, before + room, "right")))  # one document at least
+            held.append(b.slice(at, to - at))
+            room -= int(ends[to - 1]) - before
+            at, before = to, int(ends[to - 1])
+            if room <= 0 or at < b.num_rows:
+                yield from _run(held)
+                held, room = [], RUN_TOKENS
+    if held:
+        yield from _run(held)
+
+
+def _run(docs: list[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The postings of some documents, sorted by term."""
+    lists = {c: pa.concat_arrays([b.column(c) for b in docs]) for c in ("tokens", "grams")}
+    n = sum(b.num_rows for b in docs)
+    whose = np.concatenate([np.repeat(np.arange(n), pc.list_value_length(x).to_numpy(zero_copy_only=False)) for x in lists.values()])
+    flat = [x.flatten() for x in lists.values()]
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)  # by bytes, as Spark sorts
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    key = (place[coded.indices.to_numpy()] * n + whose) * 2
+    key[len(flat[0]):] += 1  # grams
+    names = coded.dictionary.take(order)
+    del coded, flat, lists, whose
+    key.sort()
+    pairs = key >> 1
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.empty(0, np.int64)
+    tf = np.add.reduceat(1 - (key & 1), first) if len(first) else first
+    term, doc = np.divmod(pairs[first], n)
+    del key, pairs
+    bare = pc.index(names, A.BOUNDARY).as_py()
+    if bare >= 0:
+        keep = term != bare
+        term, doc, tf = term[keep], doc[keep], tf[keep]
+    own = {c: pa.concat_arrays([b.column(c) for b in docs]) for c in ("doc_id", "seq", "dl")}
+    for i in range(0, len(term), rows):
+        d = pa.array(doc[i : i + rows])
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(term[i : i + rows])), own["doc_id"].take(d), own["seq"].take(d), pa.array(tf[i : i + rows].astype(np.int32)), own["dl"].take(d)], ["term", "doc_id", "seq", "tf", "dl"])
+    del docs[:], names, own, term, doc, tf
+    pa.default_memory_pool().release_unused()
+
+
 def term_stats(posted: DataFrame) -> DataFrame:
     """``term, df, len``: document frequency and length of each live term."""
     return posted.groupBy("term").agg(F.count("*").alias("df")).withColumn("len", F.char_length("term").cast("int"))

@@ -2,11 +2,11 @@
 
 A store is a folder of immutable segments and numbered manifests.  A segment
 holds ``docs`` (one row an operation and document: ``seq, op, doc_id, tokens, grams,
-dl``; all of a segment have its ``seq``), ``postings`` (``term, doc_id, seq, tf, dl``),
-hash-spread by term and sorted by it, so a term filter skips row groups, ``terms``,
-and ``superseded`` (``doc_id, seq``): the rows of earlier segments that its
-operations replace.  Readers leave those out by an anti-join with that short list;
-where nothing was replaced there is nothing to join.
+dl``; all of a segment have its ``seq``), ``postings`` (``term, doc_id, seq, tf, dl``)
+in runs sorted by term, so a term filter skips pages, ``terms``, and ``superseded`` (``doc_id, seq``): the rows of earlier segments that its
+operations replace.  Readers leave those out by an anti-join with that list, after
+they computed what they want of a row, so only narrow rows move; where nothing was
+replaced there is nothing to join.
 
 A commit writes a segment, then a new manifest that lists the live segments, by
 rename: readers see the old version or the new one, and a job that dies leaves only
@@ -21,6 +21,7 @@ file goes with the commit after that, or with ``vacuum``.
 
 from __future__ import annotations
 
+import copy
 import json
 import tempfile
 import uuid
@@ -28,12 +29,14 @@ import zlib
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import index as I
 
 FORMAT = 2
+#: Superseded rows that are broadcast at most; more of them are hashed by partition.
+FEW = 50_000
 OPS = "seq long, op string, doc_id long, tokens array<string>, grams array<string>, dl int"
 POSTINGS = "term string, doc_id long, seq long, tf int, dl int"
 TERMS, SUPERSEDED = "term string, df long", "doc_id long, seq long"
@@ -152,6 +155,12 @@ class Store:
             raise IncompatibleStore(f"{self.path}: {name} is damaged; it was set aside")
         return Manifest(**body)
 
+    def at(self, manifest: Manifest) -> Store:
+        """The store as one manifest has it, to read."""
+        other = copy.copy(self)
+        other.manifest = manifest
+        return other
+
     def reload(self) -> None:
         self.manifest = self._load()
 
@@ -177,11 +186,17 @@ class Store:
         return self._read("superseded", SUPERSEDED)
 
     def _live(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.superseded(), ["doc_id", "seq"], "left_anti") if self.manifest.superseded else rows
-
-    def live_documents(self) -> DataFrame:
-        """``seq, doc_id, tokens, grams, dl`` of live documents."""
-        return self._live(self.ops().where(F.col("op") == UPSERT)).drop("op")
+        if not self.manifest.superseded:
+            return rows
+        gone = self.superseded()
+        # the list is hashed, so the rows themselves are never sorted
+        gone = F.broadcast(gone) if self.manifest.superseded <= FEW else gone.hint("shuffle_hash")
+        return rows.join(gone, ["doc_id", "seq"], "left_anti")
+
+    def live_documents(self, *columns: Column) -> DataFrame:
+        """``seq, doc_id, tokens, grams, dl`` of live documents, or ``seq, doc_id`` and columns computed of them."""
+        rows = self.ops().where(F.col("op") == UPSERT)
+        return self._live(rows.select("seq", "doc_id", *columns) if columns else rows.drop("op"))
 
     def live_postings(self) -> DataFrame:
         return self._live(self._read("postings", POSTINGS))
@@ -197,8 +212,7 @@ class Store:
         name = f"{self.manifest.version + 1:012d}-{uuid.uuid4().hex}"
         root = f"{self.path}/segments/{name}"
         ops.select("seq", "op", "doc_id", "tokens", "grams", "dl").write.parquet(f"{root}/docs")
-        posted = I.postings(self._segment(name, "docs", OPS).where(F.col("op") == UPSERT).drop("op")).select("term", "doc_id", "seq", "tf", "dl")
-        posted.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/postings")
+        I.runs(self._segment(name, "docs", OPS).where(F.col("op") == UPSERT)).write.parquet(f"{root}/postings")
         self._segment(name, "postings", POSTINGS).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{root}/terms")
         return name
 
