@@ -21,7 +21,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.config import EngineConfig, FuzzyConfig
@@ -268,12 +268,18 @@ class SearchEngine:
                 new = None if buffered is None else buffered.where(F.col("op") == ST.UPSERT).drop("op")
                 if self.store and self.store.manifest.segments:
                     docs, posted, terms = self.store.live_documents(), self.store.live_postings(), self.store.terms()
+                    manifest = self.store.manifest
+
+                    def computed(*columns: Column) -> DataFrame:
+                        rows = self.store.at(manifest).live_documents(*columns).drop("seq")
+                        return rows if buffered is None else rows.join(buffered.select("doc_id"), "doc_id", "left_anti").unionByName(new.select("doc_id", *columns))
+
                     if buffered is not None:
                         ids = buffered.select("doc_id")  # one row a document: they hide what is stored of it
                         docs = docs.join(ids, "doc_id", "left_anti").unionByName(new)
                         posted = posted.join(ids, "doc_id", "left_anti").unionByName(I.postings(new).select("term", "doc_id", "seq", "tf", "dl"))
                         terms = None
-                    self._index = I.Index(docs.drop("seq"), posted.drop("seq"), c.min_term_length, c.max_cjk_length, stored_terms=terms)
+                    self._index = I.Index(docs.drop("seq"), posted.drop("seq"), c.min_term_length, c.max_cjk_length, stored_terms=terms, computed=computed)
                 else:
                     docs = self.spark.createDataFrame([], ST.OPS).drop("op") if new is None else new
                     self._index = I.Index(docs.drop("seq"), None, c.min_term_length, c.max_cjk_length)

@@ -134,6 +134,8 @@ class Index:
     narrow: Callable[[list[str]], DataFrame] | None = None
     #: the distinct live terms, where they are stored
     stored_terms: DataFrame | None = None
+    #: live documents with columns computed before anything is joined (stored indexes)
+    computed: Callable[..., DataFrame] | None = None
     _kept: list[DataFrame] = field(default_factory=list)
 
     @classmethod
@@ -154,6 +156,10 @@ class Index:
         held = F.concat("tokens", "grams")
         return rows.where(reduce(Column.__and__, [F.array_contains(held, t) for t in terms]))
 
+    def documents(self, *columns: Column) -> DataFrame:
+        """``doc_id`` and named columns of documents' rows; token arrays don't move."""
+        return self.computed(*columns) if self.computed else self.doc_tokens.select("doc_id", *columns)
+
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         if self.stored is None:
             return postings(self.doc_tokens, terms)
@@ -161,7 +167,11 @@ class Index:
 
     def terms(self) -> DataFrame:
         """Distinct ``term`` of all live documents."""
-        return (self.postings() if self.stored_terms is None else self.stored_terms).select("term").distinct()
+        if self.stored_terms is not None:
+            return self.stored_terms.select("term").distinct()
+        if self.stored is not None:  # a narrower way to the live ones than by their postings
+            return self.documents(F.array_distinct(F.concat(F.filter("tokens", lambda t: t != A.BOUNDARY), F.col("grams"))).alias("terms")).select(F.explode("terms").alias("term")).distinct()
+        return self.postings().select("term").distinct()
 
     def keep(self, rows: DataFrame, most: int = 4) -> DataFrame:
         """Persist narrow rows that a query reads twice; older ones are let go (and computed anew if asked for)."""
