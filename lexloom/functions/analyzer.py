@@ -1,7 +1,7 @@
 """Text analysis as Catalyst expressions, and the same rules in plain Python.
 
 ASCII text splits at anything but letters, digits and underscore.  Other text
-is NFKC-folded and cut in words: CJK characters stand alone, and letters, marks
+is NFKC-folded, where it holds a character that this may change, and cut in words: CJK characters stand alone, and letters, marks
 and digits join, with a few marks allowed between two letters or two digits.
 Terms of a document are its distinct tokens plus the n-grams of its CJK runs.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +34,25 @@ _IS_CJK = re.compile(f"[{CJK}]")
 _RUNS = re.compile(f"[{CJK}]+")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+#: Common characters that NFKC leaves as they are next to any other of them: none is
+#: decomposed, reordered or joined to the one before it.
+_INERT = (
+    (0x0, 0x9F), (0xA1, 0xA7), (0xA9, 0xA9), (0xAB, 0xAE), (0xB0, 0xB1), (0xB6, 0xB7), (0xBB, 0xBB), (0xBF, 0x131), (0x134, 0x13E), (0x141, 0x148), (0x14A, 0x17E), (0x180, 0x1C3), (0x1F4, 0x2AF),
+    (0x4E00, 0x9FFF), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A0, 0x30FE), (0xAC00, 0xD7A3), (0x3400, 0x4DBF), (0x388, 0x3CF), (0x400, 0x482), (0x48A, 0x556), (0x5D0, 0x5EA), (0x620, 0x64A), (0x660, 0x66F),
+    (0x904, 0x93B), (0xE01, 0xE32), (0x1E00, 0x1E99), (0x200B, 0x2010), (0x2012, 0x2016), (0x2018, 0x2023), (0x2030, 0x2032), (0x20A0, 0x20A7), (0x20A9, 0x20BF), (0x2190, 0x222B), (0x2500, 0x27BF), (0x1F300, 0x1F6FF),
+)
+_FOLDED = "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in _INERT) + "]"
+#: Texts that a worker holds as Python strings at once.
+_FOLD_ROWS = 256
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    def fold(t: str | None) -> str | None:
+        return t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t)
+
+    parts = [pa.array([fold(t) for t in texts.slice(i, _FOLD_ROWS).to_pylist()], texts.type) for i in range(0, len(texts), _FOLD_ROWS)]
+    return pa.concat_arrays(parts) if parts else texts
 
 
 def is_ascii(text: Column) -> Column:
@@ -49,8 +65,8 @@ def is_cjk(char: Column) -> Column:
 
 
 def normalize(text: Column, nfkc: bool = True) -> Column:
-    """Per-character lower case after NFKC; ASCII rows never leave the JVM."""
-    folded = _nfkc(F.when(~is_ascii(text), text)) if nfkc else text
+    """Per-character lower case after NFKC; only rows that NFKC may change leave the JVM."""
+    folded = F.coalesce(_nfkc(F.when(~is_ascii(text) & text.rlike(_FOLDED), text)), text) if nfkc else text
     return F.when(is_ascii(text), F.lower(text)).otherwise(F.lower(F.translate(folded, "Σ", "σ")))
 
 
