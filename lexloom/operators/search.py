@@ -44,6 +44,12 @@ def has_phrase(positional: list[str], tokens: Column | None = None) -> Column:
     return F.contains(joined, F.lit(_GAP + _GAP.join(positional) + _GAP))
 
 
+def holds_phrase(terms: list[str], positional: list[str]) -> Column:
+    """The same for a row that must hold all of the phrase's terms; joins no tokens of rows that don't."""
+    held = F.concat("tokens", "grams")
+    return F.when(reduce(Column.__and__, [F.array_contains(held, t) for t in terms]), has_phrase(positional)).otherwise(False)
+
+
 def search(index: Index, query: str) -> DataFrame:
     """Documents that match one query: all its terms, or its quoted phrase."""
     terms, positional, phrase = A.py_query(query, index.min_term, index.max_cjk)
@@ -53,8 +59,7 @@ def search(index: Index, query: str) -> DataFrame:
         return all_terms(index, terms)
     if index.stored is None:
         return index.holding(terms).where(has_phrase(positional)).select("doc_id")
-    candidates = all_terms(index, terms)
-    return index.doc_tokens.join(candidates, "doc_id", "left_semi").where(has_phrase(positional)).select("doc_id")
+    return index.documents(holds_phrase(terms, positional).alias("ok")).where("ok").select("doc_id")
 
 
 def search_and(index: Index, queries: list[str]) -> DataFrame:
