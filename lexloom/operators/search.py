@@ -80,27 +80,24 @@ def search_or(index: Index, queries: list[str]) -> DataFrame:
 def search_batch(index: Index, queries: list[str]) -> DataFrame:
     """``query_id, doc_id`` of many queries in one job, ids in list order.
 
-    Terms of all queries are read from the postings once and joined to the
-    query table, whose size is that of the list.
+    Terms of all queries but phrases are read from the postings once and joined to
+    the query table, whose size is that of the list; documents are read once for
+    all phrases, whose terms are looked for in the row.
     """
     spark = index.doc_tokens.sparkSession
     parsed = [A.py_query(q, index.min_term, index.max_cjk) for q in queries]
-    wanted = [(i, t, len(terms)) for i, (terms, _, _) in enumerate(parsed) for t in terms]
+    phrases = {i: (terms, positional) for i, (terms, positional, phrase) in enumerate(parsed) if phrase and terms}
+    wanted = [(i, t, len(terms)) for i, (terms, _, _) in enumerate(parsed) if i not in phrases for t in terms]
+    found = spark.createDataFrame([], "query_id int, doc_id long")
+    if phrases:
+        rows = F.filter(F.array(*[F.when(holds_phrase(*p), F.lit(i)) for i, p in phrases.items()]), lambda i: i.isNotNull())
+        found = index.documents(rows.alias("query_ids")).select(F.explode("query_ids").alias("query_id"), "doc_id")
     if not wanted:
-        return spark.createDataFrame([], "query_id int, doc_id long")
+        return found
     asked = spark.createDataFrame(wanted, "query_id int, term string, need int")
     hit = index.postings(sorted({t for _, t, _ in wanted})).join(F.broadcast(asked), "term")
-    found = hit.groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("n")).where("n = need").select("query_id", "doc_id")
-    phrases = {i: positional for i, (terms, positional, phrase) in enumerate(parsed) if phrase and terms}
-    if phrases:
-        plain = found.where(~F.col("query_id").isin(list(phrases)))
-        rows = F.filter(F.array(*[F.when(has_phrase(p), F.lit(i)) for i, p in phrases.items()]), lambda i: i.isNotNull())
-        docs = index.doc_tokens
-        if index.stored is not None:  # only documents that hold some phrase's terms are looked at
-            docs = docs.join(found.where(F.col("query_id").isin(list(phrases))).select("doc_id").distinct(), "doc_id", "left_semi")
-        matched = docs.select(F.explode(rows).alias("query_id"), "doc_id")
-        found = plain.unionByName(matched)
-    return found
+    plain = hit.groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("n")).where("n = need").select("query_id", "doc_id")
+    return plain.unionByName(found) if phrases else plain
 
 
 def _ids(spark, ids) -> DataFrame:

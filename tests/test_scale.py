@@ -102,3 +102,18 @@ def test_stored_phrase_joins_nothing(engine):
     found = engine.search('"of the"').frame
     assert "Join" not in plan(found) and "Exchange" not in plan(found)
     assert [r["doc_id"] for r in found.collect()] == [3]
+
+
+def test_stored_phrase_moves_no_tokens(engine):
+    found = engine.search('"of the"').frame
+    assert all("tokens" not in line for line in plan(found).splitlines() if "Exchange" in line)
+    assert [r["doc_id"] for r in found.collect()] == [3]
+    assert [h.to_list() for h in engine.search_batch(["the cat", '"of the"', '"全文"', ""])] == [[2], [3], [2], []]
+    assert "tokens" not in "".join(line for line in plan(S.search_batch(engine.index(), ['"of the"'])).splitlines() if "Exchange" in line)
+
+
+def test_batched_phrase_needs_all_its_terms(spark):
+    """As in a single search: neighbours of two runs are not the run's gram."""
+    own = I.Index.build(docs(spark), ["text"])
+    assert [r["doc_id"] for r in S.search(own, '"全文"').collect()] == [2]
+    assert [tuple(r) for r in S.search_batch(own, ['"全文"']).collect()] == [(0, 2)]
